@@ -97,17 +97,18 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(words), _SIGNATURE)
 
 
-def star_edges(bands: DataFrame, orders: int = 1) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)``, a < b, from ``(key, doc)`` rows: each member of a bucket
-    with the bucket's smallest document and with the first and last by ``orders`` orders of the
-    bucket's own. At most 1 + 2 * orders pairs a row, so the count grows with the rows and not with
-    a bucket's square."""
+def star_edges(bands: DataFrame, orders: int = 1, members: DataFrame | None = None) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)``, a < b, from ``(key, doc)`` rows: each member of a bucket (or
+    those in ``members``) with the bucket's smallest document and with the first and last by ``orders``
+    orders of the bucket's own. At most 1 + 2 * orders pairs a row, so the count grows with the rows
+    and not with a bucket's square."""
     masks = [F.xxhash64("key", F.lit(i)) for i in range(orders)]
     ends = [f(F.col("doc").bitwiseXOR(m)).alias(f"{f.__name__}{i}") for i, m in enumerate(masks) for f in (F.min, F.max)]
     back = [F.col(f"{f}{i}").bitwiseXOR(m) for i, m in enumerate(masks) for f in ("min", "max")]
     hubs = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("least"), *ends).filter("n > 1").select("key", F.array("least", *back).alias("hubs"))
     return (
-        bands.join(hubs, "key")
+        (bands if members is None else members)
+        .join(hubs, "key")
         .select("doc", F.explode(F.array_distinct("hubs")).alias("hub"))
         .filter("doc <> hub")
         .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
@@ -115,12 +116,13 @@ def star_edges(bands: DataFrame, orders: int = 1) -> DataFrame:
     )
 
 
-def unsettled(bands: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of buckets that still hold several components, and each document's component."""
+def unsettled(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """key, doc, component of the buckets that still hold several components, and whether the
+    document's component is the one with most members there."""
     placed = bands.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rows = materialize(placed.join(mixed, "key"), "unsettled")
-    return rows.select("key", "doc"), rows.select("doc", "component").distinct()
+    counts = placed.groupBy("key", "component").count()
+    mixed = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    return materialize(placed.join(mixed, "key").select("key", "doc", "component", (F.col("component") == F.col("top.component")).alias("top")), "unsettled")
 
 
 def _agreeing(x: str, y: str):
@@ -171,8 +173,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
 
     Candidates come from 32 bands of 4 bins. A second round of star edges looks at the buckets that
-    still hold several components, with more hubs and only at pairs across components, so that a
-    document whose partners weren't hubs before meets them."""
+    still hold several components: those outside a bucket's largest component meet more hubs, so
+    that a document whose partners weren't hubs before meets them."""
     signed = materialize(signatures(docs, words), "signatures")
     classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"))
     signed_class = materialize(signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("doc", "doc_id").alias("doc")), "classes")
@@ -182,9 +184,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     candidates = materialize(likely(star_edges(bands), sketches), "candidates")
     links = materialize(confirmed(docs, candidates, words, percent), "links")
     found = materialize(components(links), "components")
-    rows, component = unsettled(bands, found)
+    rows = unsettled(bands, found)
+    component = rows.select("doc", "component").distinct()
     one, two = component.toDF("a", "ca"), component.toDF("b", "cb")
-    across = star_edges(rows, SECOND_ORDERS).join(one, "a").join(two, "b").filter("ca <> cb").select("a", "b").join(candidates, ["a", "b"], "left_anti")
+    across = star_edges(rows.select("key", "doc"), SECOND_ORDERS, rows.filter("not top").select("key", "doc")).join(one, "a").join(two, "b").filter("ca <> cb").select("a", "b").join(candidates, ["a", "b"], "left_anti")
     more = materialize(confirmed(docs, materialize(likely(across, sketches.join(component, "doc", "left_semi")), "second"), words, percent), "more_links")
     found = components(links.unionByName(more))
     by_class = found.select(F.col("node").alias("doc"), "component")

@@ -67,24 +67,22 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row bounds, bytes and row offsets of runs of about ``limit`` bytes; null is the empty text.
-    A longer text is a run of its own."""
+def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 21, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row bounds, bytes and row offsets of runs of ``rows`` rows and about ``limit`` bytes at most; null
+    is the empty text. A longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    n = len(column)
-    if not n:
-        return
-    _, raw, body = column.buffers()
-    offsets = np.frombuffer(raw, np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        lo = hi
+    for base in range(0, len(column), rows):
+        part = column.slice(base, rows).cast(pa.large_string()).fill_null("")
+        n = len(part)
+        _, raw, body = part.buffers()
+        offsets = np.frombuffer(raw, np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
+            yield base + lo, base + hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
