@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import scratch_path
+from .filters import flagged, key_filter
+from .store import materialize, scratch_path
 
 END = "\r\n\r\n"
 _READ = "record_id string, kind string, refers_to string, page_id long, declared string, origin string, segment int, total long, block binary"
@@ -62,6 +63,10 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block
 
 
+def record_uri(page: int | None, copy: int, digest: str) -> str:
+    return f"<urn:page:{'' if page is None else page}:{copy}:{digest}>"
+
+
 def split_block(block: bytes, size: int) -> list[bytes]:
     """Pieces of about ``size`` bytes that don't part a UTF-8 character (the sink takes text)."""
     out, at = [], 0
@@ -79,9 +84,10 @@ def _records(segment_bytes: int):
         for batch in batches:
             out: list[str] = []
             size = 0
-            for page, copy, url, html, digest, keeper in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for page, copy, url, html, best, revisits in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 payload = (html or "").encode()
-                uri = f"<urn:page:{'' if page is None else page}:{copy}:{digest}>"
+                digest = base32_sha1(payload)
+                uri, keeper = record_uri(page, copy, digest), record_uri(best, 1, digest) if revisits else None
                 safe = (url or "").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
                 head = [("WARC-Record-ID", uri), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", safe), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page is None else page)]
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -105,33 +111,26 @@ def _records(segment_bytes: int):
     return run
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [base32_sha1((h or "").encode()) for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], ["page_id", "url", "html", "digest"])
-
-
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16384, file_records: int = 5000, least_revisit: int = 0) -> None:
-    """Write a record per row of ``pages``. Payloads are equal if SHA-1 and SHA-256 are; smaller
-    ones than ``least_revisit`` bytes are all responses."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_digests, "page_id long, url string, html string, digest string")
-    rows = rows.withColumn("strong", F.sha2(F.coalesce("html", F.lit("")), 256)).withColumn("n_bytes", F.octet_length(F.coalesce("html", F.lit(""))))
-    # Rows of one page and payload are numbered by a hash of the url, then by url.
-    numbers = Window.partitionBy("strong", "page_id").orderBy("url")
-    keys = rows.select("page_id", "url", "strong", "digest").groupBy("page_id", "url", "strong", "digest").count()
-    keys = keys.withColumn("end", F.sum("count").over(numbers.rowsBetween(Window.unboundedPreceding, 0)))
-    best = keys.groupBy("strong").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), "page_id", "digest")).alias("best"), F.sum("count").alias("n")).filter("n > 1").select("strong", "best")
-    # Only payloads that occur twice or more have their rows numbered; all others go straight on.
-    numbered = keys.select("page_id", "url", "strong", (F.col("end") - F.col("count")).alias("before")).join(best, "strong")
-    keeper = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("best.page_id").cast("string"), F.lit("")), F.lit(":1:"), F.col("best.digest"), F.lit(">"))
-    alike = numbered.select(F.col("strong").alias("s2"), F.col("page_id").alias("p2"), F.col("url").alias("u2"), "before", keeper.alias("keeper"), F.col("best.page_id").alias("best_page"))
-    joined = rows.join(alike, (F.col("strong") == F.col("s2")) & F.col("page_id").eqNullSafe(F.col("p2")) & F.col("url").eqNullSafe(F.col("u2")), "left")
-    within = F.row_number().over(Window.partitionBy("s2", "p2", "u2").orderBy(F.lit(0)))
-    same, alone = joined.filter("s2 is not null"), joined.filter("s2 is null")
-    done = same.withColumn("copy", (F.col("before") + within).cast("int")).withColumn("stays", F.col("page_id").eqNullSafe(F.col("best_page")) & (F.col("copy") == 1))
-    cols = ["page_id", "copy", "url", "html", "digest", "keeper"]
-    both = done.withColumn("keeper", F.when(~F.col("stays") & (F.col("n_bytes") >= least_revisit), F.col("keeper"))).select(*cols).unionByName(alone.withColumn("copy", F.lit(1)).withColumn("keeper", F.lit(None).cast("string")).select(*cols))
-    both.mapInArrow(_records(segment_bytes), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    """Write a record per row of ``pages``. Payloads are equal if their SHA-256 are; smaller ones than
+    ``least_revisit`` bytes are all responses. Payloads that surely occur once don't move."""
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = rows.withColumn("strong", F.sha2(F.coalesce("html", F.lit("")), 256))
+    keys = rows.groupBy("page_id", "url", "strong").count()
+    # Rows of one page and payload are numbered in order of url.
+    numbers = Window.partitionBy("strong", "page_id").orderBy("url").rowsBetween(Window.unboundedPreceding, 0)
+    best = keys.groupBy("strong").agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), "page_id")).alias("best"), F.sum("count").alias("n")).filter("n > 1").select("strong", F.col("best.page_id").alias("best"))
+    alike = keys.join(best, "strong").select(F.col("strong").alias("s2"), F.col("page_id").alias("p2"), F.col("url").alias("u2"), (F.sum("count").over(numbers) - F.col("count")).alias("before"), "best", F.lit(True).alias("several"))
+    told = flagged(rows, "strong", key_filter(best, "strong"))
+    cols = ["page_id", "copy", "url", "html", "best", "revisits"]
+    alone = told.filter("not __maybe").select("page_id", F.lit(1).alias("copy"), "url", "html", F.lit(None).cast("long").alias("best"), F.lit(False).alias("revisits"))
+    joined = told.filter("__maybe").join(alike, (F.col("strong") == F.col("s2")) & F.col("page_id").eqNullSafe(F.col("p2")) & F.col("url").eqNullSafe(F.col("u2")), "left")
+    within = F.row_number().over(Window.partitionBy("strong", "page_id", "url").orderBy(F.lit(0)))
+    numbered = joined.withColumn("copy", (F.coalesce("before", F.lit(0)) + within).cast("int"))
+    stays = F.col("page_id").eqNullSafe(F.col("best")) & (F.col("copy") == 1)
+    long = F.octet_length(F.coalesce("html", F.lit(""))) >= least_revisit
+    same = numbered.withColumn("revisits", F.coalesce("several", F.lit(False)) & ~stays & long)
+    alone.unionByName(same.select(*cols)).mapInArrow(_records(segment_bytes), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -227,4 +226,4 @@ def round_trip(pages: DataFrame, segment_bytes: int = 16384) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, segment_bytes)
-    return resolved(read_archives(pages.sparkSession, path, keep_payload=False))
+    return resolved(materialize(read_archives(pages.sparkSession, path, keep_payload=False), "records"))
