@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filters import key_filter, passing
+
 #: Fixed value: the splitting pattern that belongs to the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZERS = "/opt/tokenizers"
@@ -122,7 +124,9 @@ def maintained(docs: DataFrame, labels: DataFrame, root: str, folder: str = TOKE
     low = labels.filter("quality = 0").select("doc_id")
     rollup.commit("2-delete", rollup.removal(low))
     again = labels.filter("toxic = 1").select("doc_id").join(low.withColumnRenamed("doc_id", "low"), F.col("doc_id") == F.col("low"), "left_anti").distinct()
-    revised = docs.join(again.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    # Only texts that may be counted anew move.
+    near = passing(docs.filter("doc_id is not null"), "doc_id", key_filter(again, "doc_id"))
+    revised = near.join(again.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_semi")
     rollup.commit("3-revise", rollup.removal(again).unionByName(counted(revised, "byte_bpe_multi_50k", folder)))
     rollup.commit("2-delete", rollup.removal(low))
     return rollup.totals()
