@@ -189,7 +189,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     one, two = component.toDF("a", "ca"), component.toDF("b", "cb")
     across = star_edges(rows.select("key", "doc"), SECOND_ORDERS, rows.filter("not top").select("key", "doc")).join(one, "a").join(two, "b").filter("ca <> cb").select("a", "b").join(candidates, ["a", "b"], "left_anti")
     more = materialize(confirmed(docs, materialize(likely(across, sketches.join(component, "doc", "left_semi")), "second"), words, percent), "more_links")
-    found = components(links.unionByName(more))
+    # Only components that the second round has linked are joined anew, not their members.
+    one, two = component.toDF("a", "ca"), component.toDF("b", "cb")
+    merged = components(more.join(one, "a").join(two, "b").select("ca", "cb"), "ca", "cb").toDF("first", "merged")
     by_class = found.select(F.col("node").alias("doc"), "component")
-    out = signed_class.join(by_class, "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
+    out = signed_class.join(by_class, "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("first"))
+    out = out.join(merged, "first", "left").select("doc_id", "n_shingles", F.coalesce("merged", "first").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
