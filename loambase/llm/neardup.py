@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     reps = signed.filter("set_id is not null").join(classes, ["set_id"]).filter(F.col("doc_id") == F.col("doc")).dropDuplicates(["doc_id", "set_id"])
     bands = reps.select("doc", F.explode("bands").alias("key"))
     sketches = reps.select("doc", "sketch")
-    candidates = materialize(likely(star_edges(bands), sketches), "candidates")
+    candidates = materialize(likely(star_edges(bands, 0), sketches), "candidates")
     links = materialize(confirmed(docs, candidates, words, percent), "links")
     found = materialize(components(links), "components")
     rows = unsettled(bands, found)
