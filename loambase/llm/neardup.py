@@ -1,5 +1,5 @@
 """MinHash near-duplicates: one-permutation hashing with optimal densification, banded buckets,
-star-shaped candidate edges, exact confirmation, distributed union-find.
+star-shaped candidate edges in rounds, exact confirmation, distributed union-find.
 
 A document's set holds its distinct runs of ``words`` words (of ``[^\\x20\\x09-\\x0D]+``, A-Z
 lower-cased); with fewer words the whole sequence is its one element; without words it is empty
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .filters import key_filter, passing
 from .graph import components
+from .rounds import settle
 from .store import materialize
 from .text import U, chunks, combine, mix, shingle_sets
 
@@ -28,8 +29,8 @@ BINS, ROWS = 128, 4
 #: A pair at the threshold agrees in a 4-bit sketch bin with probability 0.8 + 0.2 / 16. Below this
 #: estimate (four standard deviations under the threshold) a candidate isn't compared on full sets.
 LEAST_ESTIMATE = 0.66
-#: Orders by which the second round chooses two hubs each.
-SECOND_ORDERS = 4
+#: Further bands by which a large bucket is split, each for all of its members.
+SPLITS = 3
 _SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 
 
@@ -116,13 +117,32 @@ def star_edges(bands: DataFrame, orders: int = 1, members: DataFrame | None = No
     )
 
 
-def unsettled(bands: DataFrame, found: DataFrame) -> DataFrame:
-    """key, doc, component of the buckets that still hold several components, and whether the
-    document's component is the one with most members there."""
-    placed = bands.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    counts = placed.groupBy("key", "component").count()
-    mixed = counts.groupBy("key").agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    return materialize(placed.join(mixed, "key").select("key", "doc", "component", (F.col("component") == F.col("top.component")).alias("top")), "unsettled")
+def _more_bands(words: int, n: int):
+    """SPLITS band keys for each band, of signatures that no earlier round has used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = mix(np.arange(SPLITS, dtype=U) + U(1000 + n * SPLITS))
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(1)):
+                bands = [[combine_rows(densified(np.sort(mix(values ^ s))).reshape(-1, ROWS)) for s in seeds] if len(values) else None for values in shingle_sets(data, offsets, words)]
+                bands = [x if x is None else np.concatenate(x).view(np.int64) for x in bands]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
+
+    return run
+
+
+def _split(docs: DataFrame, words: int):
+    """Buckets of rows that agree in one of SPLITS further bands, others for each band and round, so that
+    a pair that one split parts meets again by another."""
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+
+    def run(rows: DataFrame, n: int) -> DataFrame:
+        rows = materialize(rows, "large")
+        bands = passing(texts, "node", key_filter(rows, "node")).mapInArrow(_more_bands(words, n), "node long, bands array<long>")
+        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("bands", j * (BINS // ROWS) + F.col("at")))))
+        return rows.join(bands.filter("bands is not null"), "node").select(parts.alias("key"), "at", "node").distinct()
+
+    return run
 
 
 def _agreeing(x: str, y: str):
@@ -172,27 +192,19 @@ def confirmed(docs: DataFrame, edges: DataFrame, words: int, percent: int = 80)
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
 
-    Candidates come from 32 bands of 4 bins. A second round of star edges looks at the buckets that
-    still hold several components: those outside a bucket's largest component meet more hubs, so
-    that a document whose partners weren't hubs before meets them."""
+    Candidates come from 32 bands of 4 bins. The first round compares a bucket's members with its
+    smallest document; further rounds look at the buckets that still hold several components, by
+    keys of one band more in each round, until none is left (see ``rounds``)."""
     signed = materialize(signatures(docs, words), "signatures")
     classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"))
     signed_class = materialize(signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("doc", "doc_id").alias("doc")), "classes")
     reps = signed.filter("set_id is not null").join(classes, ["set_id"]).filter(F.col("doc_id") == F.col("doc")).dropDuplicates(["doc_id", "set_id"])
-    bands = reps.select("doc", F.explode("bands").alias("key"))
+    bands = reps.select("doc", F.posexplode("bands").alias("at", "key"))
     sketches = reps.select("doc", "sketch")
     candidates = materialize(likely(star_edges(bands, 0), sketches), "candidates")
     links = materialize(confirmed(docs, candidates, words, percent), "links")
     found = materialize(components(links), "components")
-    rows = unsettled(bands, found)
-    component = rows.select("doc", "component").distinct()
-    one, two = component.toDF("a", "ca"), component.toDF("b", "cb")
-    across = star_edges(rows.select("key", "doc"), SECOND_ORDERS, rows.filter("not top").select("key", "doc")).join(one, "a").join(two, "b").filter("ca <> cb").select("a", "b").join(candidates, ["a", "b"], "left_anti")
-    more = materialize(confirmed(docs, materialize(likely(across, sketches.join(component, "doc", "left_semi")), "second"), words, percent), "more_links")
-    # Only components that the second round has linked are joined anew, not their members.
-    one, two = component.toDF("a", "ca"), component.toDF("b", "cb")
-    merged = components(more.join(one, "a").join(two, "b").select("ca", "cb"), "ca", "cb").toDF("first", "merged")
-    by_class = found.select(F.col("node").alias("doc"), "component")
-    out = signed_class.join(by_class, "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("first"))
-    out = out.join(merged, "first", "left").select("doc_id", "n_shingles", F.coalesce("merged", "first").alias("component_id"))
+    compare = lambda edges: confirmed(docs, materialize(likely(edges, sketches), "likely"), words, percent)
+    found = settle(bands.withColumnRenamed("doc", "node"), found, candidates, compare, _split(docs, words))
+    out = signed_class.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
