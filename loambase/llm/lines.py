@@ -6,8 +6,9 @@ similarity of 0.8 or more are linked; of the lines that links connect, the first
 then line number) stays. Lines of white space only are never linked and all stay.
 
 Equal lines are one node. Signatures are eight bands of three minima: a link at 0.8 is a candidate
-with probability 0.997, at 0.9 with 0.99997. A bucket's members are compared with its smallest and its
-largest node, so pairs grow with the lines. Null text has one empty line. Rows that share a doc_id
+(shares a bucket) with probability 0.997, at 0.9 with 0.99997. A bucket's members are compared with its
+smallest and its largest node; buckets that then still hold several components go through further
+rounds (see ``rounds``) until none is left, so pairs grow with the lines. Null text has one empty line. Rows that share a doc_id
 are taken as parts of one document, whose equal (doc_id, line number) pairs stay or go together;
 rows without a doc_id are left out.
 """
@@ -24,12 +25,22 @@ from pyspark.sql import functions as F
 
 from .filters import key_filter, passing
 from .graph import components
+from .rounds import settle
 from .store import materialize
 from .text import U, mix, prefix_hash_of, span_hash
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-_MULTIPLIERS = (mix(np.arange(BANDS * ROWS, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
-_MASKS = (mix(np.arange(100, 100 + BANDS * ROWS, dtype=U)) >> U(32)).astype(np.uint32)
+#: Further bands by which a large bucket is split, each for all of its members.
+SPLITS = 4
+
+
+def _orders(n: int, seed: int = 0) -> list[tuple[np.uint32, np.uint32]]:
+    """Multiplier and mask of each of n orders of shingles."""
+    multipliers = (mix(np.arange(seed, seed + n, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
+    return list(zip(multipliers, (mix(np.arange(seed + 100, seed + 100 + n, dtype=U)) >> U(32)).astype(np.uint32), strict=True))
+
+
+_ORDERS = _orders(BANDS * ROWS)
 
 
 def digest(line: str) -> bytes:
@@ -40,7 +51,7 @@ def lines_of(text: str | None) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in (text or "").split("\n")]
 
 
-def signatures(lines: list[str]) -> np.ndarray:
+def signatures(lines: list[str], orders: list[tuple[np.uint32, np.uint32]] = _ORDERS) -> np.ndarray:
     """A row of band keys for each of these non-empty lines."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -50,11 +61,11 @@ def signatures(lines: list[str]) -> np.ndarray:
     starts = np.arange(int(counts.sum())) - np.repeat(first - (ends - sizes), counts)
     stops = np.minimum(starts + SHINGLE, np.repeat(ends, counts))
     hashes = (span_hash(prefix_hash_of(mix(points)), starts, stops) >> U(32)).astype(np.uint32)
-    minima = [np.minimum.reduceat((hashes ^ s) * m, first) for m, s in zip(_MULTIPLIERS, _MASKS, strict=True)]
-    keys = np.zeros((len(lines), BANDS), U)
+    minima = [np.minimum.reduceat((hashes ^ s) * m, first) for m, s in orders]
+    keys = np.zeros((len(lines), len(orders) // ROWS), U)
     for i, m in enumerate(minima):
         keys[:, i // ROWS] = mix(keys[:, i // ROWS] ^ m)
-    return mix(keys ^ mix(np.arange(BANDS, dtype=U))).view(np.int64)
+    return mix(keys ^ mix(np.arange(keys.shape[1], dtype=U))).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +127,31 @@ def _confirm(percent: int):
     return run
 
 
+def _more_bands(n: int):
+    orders = _orders(BANDS * SPLITS * ROWS, 1000 * (n + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = signatures(part.column(1).to_pylist(), orders)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "bands"])
+
+    return run
+
+
+def _split(found: DataFrame):
+    """Buckets of rows that agree in one of SPLITS further bands, others for each band and round."""
+
+    def run(rows: DataFrame, n: int) -> DataFrame:
+        rows = materialize(rows, "large_buckets")
+        bands = found.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "line").mapInArrow(_more_bands(n), "node long, bands array<long>")
+        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("bands", j * BANDS + F.col("at")))))
+        return rows.join(bands, "node").select(parts.alias("key"), "at", "node").distinct()
+
+    return run
+
+
 def fuzzy_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, kept: one row per line."""
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -132,8 +168,11 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines = passing(texts.mapInArrow(_keys(True), "doc_id long, line_no long, key binary, line string").filter("key is not null"), "key", key_filter(asked, "key"))
     found = materialize(asked.join(lines.select("key", "line"), "key").groupBy("id").agg(F.any_value("line").alias("line")), "line_texts")
     one, two = found.toDF("a", "la"), found.toDF("b", "lb")
-    links = materialize(edges.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(_confirm(percent), "a long, b long"), "line_links")
-    placed = nodes.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("key", "first", "n", F.col("component"))
+    compare = lambda pairs: pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(_confirm(percent), "a long, b long")
+    links = materialize(compare(edges), "line_links")
+    shared = nodes.select(F.col("id").alias("node"), F.posexplode("bands").alias("at", "key")).join(hubs.select(F.col("band").alias("key")), "key", "left_semi")
+    joined = settle(shared, materialize(components(links), "line_components"), edges, compare, _split(found))
+    placed = nodes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "first", "n", F.col("component"))
     best = placed.filter("component is not null").groupBy("component").agg(F.min("first").alias("best"))
     # A line that occurs once and has no link keeps itself: only the others are looked up.
     decided = materialize(placed.filter("component is not null or n > 1").join(best, "component", "left").select("key", F.coalesce("best", "first").alias("best")), "decided_lines")

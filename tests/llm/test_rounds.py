@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from loambase.llm import neardup
+from loambase.llm import lines, neardup
 
 
 def family(n_pairs, shared, paired, own, unit):
@@ -24,3 +24,12 @@ def test_near_duplicates_mixed_buckets(spark):
     by = dict(zip(got.doc_id, got.component_id, strict=True))
     assert all(by[d] in (d, d - d % 2) for d in by)
     assert sum(by[d] == by[d + 1] for d in range(0, 1200, 2)) >= 597
+
+
+def test_fuzzy_lines_mixed_buckets(spark):
+    texts = {d: "".join(c) for d, c in family(300, 344, 12, 36, lambda x: chr(0x4E00 + x % 20000)).items()}
+    assert all(lines.similar(texts[d], texts[d + 1]) and not lines.similar(texts[d], texts[(d + 2) % 600]) for d in range(0, 600, 2))
+    got = lines.fuzzy_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).toPandas()
+    by = dict(zip(got.doc_id, got.keep_doc_id, strict=True))
+    assert all(by[d] in (d, d - d % 2) for d in by)
+    assert sum(by[d] == by[d + 1] for d in range(0, 600, 2)) >= 297
