@@ -58,7 +58,9 @@ def window_minima(data: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.
 
 def ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, start (in the chunk), windows, hash, content fingerprint of every range, and whether some of
-    its own windows may be equal (their hash then stands twice in one of them, once at its start)."""
+    its own windows may be equal (their hash then stands twice: in one of them, once at its start, or
+    as far apart as windows that follow each other with one of the two in each, which makes the range
+    longer than one place of a hash can)."""
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2 + (np.zeros(0, bool),)
     if len(data) < WINDOW:
         return none
@@ -87,7 +89,7 @@ def ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         stops = np.minimum(stops, starts + MOST_WINDOWS)
     n = stops - starts
     count = np.concatenate([[0], np.cumsum(twice)])
-    return row, starts, n, least[starts], span_hash(prefix, starts, stops + WINDOW - 1), count[stops] > count[starts]
+    return row, starts, n, least[starts], span_hash(prefix, starts, stops + WINDOW - 1), (count[stops] > count[starts]) | (n > WINDOW - GRAM + 1)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
