@@ -467,8 +467,7 @@ def mmr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vector = mmr_search(spark, sf_dir).filter("query % 100 = 0")
-    return search.hybrid(vector, tfidf_search(spark, sf_dir).select("query", "doc", "score", "rank"))
+    return search.hybrid(mmr_search(spark, sf_dir), tfidf_search(spark, sf_dir).select("query", "doc", "score", "rank"))
 
 
 @query("SELECT 'embeddings' AS layer, CAST(vec_id AS VARCHAR) AS id, len(embedding) AS dims FROM embeddings UNION ALL SELECT 'topics', CAST(vec_id AS VARCHAR), len(embedding) FROM embeddings WHERE label = 0")
