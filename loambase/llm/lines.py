@@ -5,12 +5,12 @@ of eight characters; a shorter line is its own only shingle. Lines whose sets ha
 similarity of 0.8 or more are linked; of the lines that links connect, the first (smallest doc_id,
 then line number) stays. Lines of white space only are never linked and all stay.
 
-Equal lines are one node. Signatures are eight bands of three minima: a link at 0.8 is a candidate
-(shares a bucket) with probability 0.997, at 0.9 with 0.99997. A bucket's members are compared with its
-smallest and its largest node; buckets that then still hold several components go through further
-rounds (see ``rounds``) until none is left, so pairs grow with the lines. Null text has one empty line. Rows that share a doc_id
-are taken as parts of one document, whose equal (doc_id, line number) pairs stay or go together;
-rows without a doc_id are left out.
+Equal lines are one node. Signatures are eight bands of three minima: a link at 0.8 shares a bucket
+with probability 0.997, at 0.9 with 0.99997. Lines are compared with the bucket's first, and then in
+rounds on the buckets that hold several components, until none is left (see ``rounds``), so no bucket is
+given up and work grows with the lines. Null text
+has one empty line. Rows that share a doc_id are taken as parts of one document, whose equal (doc_id,
+line number) pairs stay or go together; rows without a doc_id are left out.
 """
 
 from __future__ import annotations
@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import key_filter, passing
-from .graph import components
-from .rounds import settle
-from .store import materialize
+from .rounds import LIMIT, Likeness, linked
+from .store import materialize, small_batches
 from .text import U, mix, prefix_hash_of, span_hash
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
 #: Further bands by which a large bucket is split, each for all of its members.
-SPLITS = 4
+SPLITS = 8
 
 
 def _orders(n: int, seed: int = 0) -> list[tuple[np.uint32, np.uint32]]:
@@ -51,29 +50,39 @@ def lines_of(text: str | None) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in (text or "").split("\n")]
 
 
-def signatures(lines: list[str], orders: list[tuple[np.uint32, np.uint32]] = _ORDERS) -> np.ndarray:
-    """A row of band keys for each of these non-empty lines."""
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each of these non-empty lines, one line after the other, and where each begins."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     ends = np.cumsum(sizes)
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     first = np.cumsum(counts) - counts
     starts = np.arange(int(counts.sum())) - np.repeat(first - (ends - sizes), counts)
-    stops = np.minimum(starts + SHINGLE, np.repeat(ends, counts))
-    hashes = (span_hash(prefix_hash_of(mix(points)), starts, stops) >> U(32)).astype(np.uint32)
-    minima = [np.minimum.reduceat((hashes ^ s) * m, first) for m, s in orders]
+    return span_hash(prefix_hash_of(mix(points)), starts, np.minimum(starts + SHINGLE, np.repeat(ends, counts))), first
+
+
+def signatures(lines: list[str], orders: list[tuple[np.uint32, np.uint32]] = _ORDERS) -> tuple[np.ndarray, np.ndarray]:
+    """A row of band keys and one of minima for each of these non-empty lines."""
+    hashes, first = shingle_hashes(lines)
+    hashes = (hashes >> U(32)).astype(np.uint32)
+    minima = np.stack([np.minimum.reduceat((hashes ^ s) * m, first) for m, s in orders], axis=1)
     keys = np.zeros((len(lines), len(orders) // ROWS), U)
-    for i, m in enumerate(minima):
-        keys[:, i // ROWS] = mix(keys[:, i // ROWS] ^ m)
-    return mix(keys ^ mix(np.arange(keys.shape[1], dtype=U))).view(np.int64)
+    for i in range(len(orders)):
+        keys[:, i // ROWS] = mix(keys[:, i // ROWS] ^ minima[:, i])
+    return mix(keys ^ mix(np.arange(keys.shape[1], dtype=U))).view(np.int64), minima
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    longs = pa.list_(pa.int64(), BANDS)
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of the minima that agree (in eight bits), by row."""
+    return (x.view(np.uint8) == y.view(np.uint8)).mean(axis=1)
 
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
-        bands = pa.FixedSizeListArray.from_arrays(pa.array(signatures([x[2] for x in rows]).ravel()), BANDS).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([digest(x[2]) for x in rows], pa.binary()), bands], ["doc_id", "line_no", "key", "bands"])
+        listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+        bands, minima = signatures([x[2] for x in rows])
+        sketch = np.ascontiguousarray(minima >> np.uint32(16)).astype(np.uint8).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([digest(x[2]) for x in rows], pa.binary()), pa.array([max(1, len(x[2]) - SHINGLE + 1) for x in rows], pa.int64()), listed(bands), listed(sketch)], ["doc_id", "line_no", "key", "size", "bands", "sketch"])
 
     for batch in batches:
         rows, size = [], 0
@@ -89,23 +98,39 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(rows)
 
 
-def _keys(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, numbers, keys, texts, size = [], [], [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for n, line in enumerate(lines_of(text.as_py())):
-                    docs.append(doc)
-                    numbers.append(n)
-                    keys.append(digest(line) if line and not line.isspace() else None)
-                    texts.append(line if with_text else None)
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, numbers, keys = [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for n, line in enumerate(lines_of(text.as_py())):
+                docs.append(doc)
+                numbers.append(n)
+                # Lines that no other equals have a key that is no digest.
+                keys.append(digest(line) if line and not line.isspace() else b"%d:%d" % (doc, n))
+            if len(docs) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "line_no", "key"])
+                docs, numbers, keys = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "line_no", "key"])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, line; a task gives each line once as long as it remembers it."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for text in batch.column(1):
+            for line in lines_of(text.as_py()):
+                if line and not line.isspace() and (key := digest(line)) not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(key)
+                    keys.append(key)
+                    texts.append(line)
                     size += len(line)
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "line_no", "key", "line"])
-                    docs, numbers, keys, texts, size = [], [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int64()), pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "line_no", "key", "line"])
-
-    return run
+            if size > 1 << 21:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["key", "line"])
+                keys, texts, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["key", "line"])
 
 
 def shingles(line: str) -> set[str]:
@@ -121,12 +146,27 @@ def similar(a: str, b: str, percent: int = 80) -> bool:
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array([similar(a, b, percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            keep = np.zeros(batch.num_rows, bool)
+            for at in range(0, batch.num_rows, 256):
+                sides = []
+                for part in (batch.column(i).slice(at, 256).to_pylist() for i in (2, 3)):
+                    hashes, first = shingle_hashes(part)
+                    sides.append([distinct(x) for x in np.split(hashes, first[1:])])
+                for n, (x, y) in enumerate(zip(*sides, strict=True)):
+                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                        both = len(x) + len(y) - len(distinct(np.concatenate([x, y])))
+                        keep[at + n] = 100 * both >= percent * (len(x) + len(y) - both)
+            mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])]
+
+
 def _more_bands(n: int):
     orders = _orders(BANDS * SPLITS * ROWS, 1000 * (n + 1))
 
@@ -134,49 +174,54 @@ def _more_bands(n: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keys = signatures(part.column(1).to_pylist(), orders)
+                keys, _ = signatures(part.column(1).to_pylist(), orders)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "bands"])
 
     return run
 
 
-def _split(found: DataFrame):
+def _elements(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    hashes, first = shingle_hashes(table.column(3).to_pylist())
+    return hashes, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
+
+
+def _split(items):
     """Buckets of rows that agree in one of SPLITS further bands, others for each band and round."""
 
     def run(rows: DataFrame, n: int) -> DataFrame:
-        rows = materialize(rows, "large_buckets")
-        bands = found.join(rows.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "line").mapInArrow(_more_bands(n), "node long, bands array<long>")
+        bands = items(rows).select("node", "item").mapInArrow(_more_bands(n), "node long, bands array<long>")
         parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("bands", j * BANDS + F.col("at")))))
-        return rows.join(bands, "node").select(parts.alias("key"), "at", "node").distinct()
+        return rows.join(bands, "node").select(parts.alias("key"), "at", "node", "size").distinct()
 
     return run
 
 
-def fuzzy_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, percent: int = 80, limit: int = LIMIT) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, kept: one row per line."""
+    small_batches(docs.sparkSession)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # Equal lines of one task meet before the shuffle; the bands follow from the line, so any will do.
+    # Equal lines of one task meet before the shuffle; size and bands follow from the line, so any will do.
     at = F.struct("doc_id", "line_no")
-    signed = texts.mapInArrow(_signed, "doc_id long, line_no long, key binary, bands array<long>")
-    nodes = materialize(signed.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.any_value("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()), "lines")
-    bands = nodes.select("id", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    edges = bands.join(hubs, "band").select("id", F.explode(F.array("lo", "hi")).alias("hub")).filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    edges = materialize(edges, "line_edges")
-    asked = nodes.select("id", "key").join(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    asked = materialize(asked, "asked_lines")
-    lines = passing(texts.mapInArrow(_keys(True), "doc_id long, line_no long, key binary, line string").filter("key is not null"), "key", key_filter(asked, "key"))
-    found = materialize(asked.join(lines.select("key", "line"), "key").groupBy("id").agg(F.any_value("line").alias("line")), "line_texts")
-    one, two = found.toDF("a", "la"), found.toDF("b", "lb")
-    compare = lambda pairs: pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb").mapInArrow(_confirm(percent), "a long, b long")
-    links = materialize(compare(edges), "line_links")
-    shared = nodes.select(F.col("id").alias("node"), F.posexplode("bands").alias("at", "key")).join(hubs.select(F.col("band").alias("key")), "key", "left_semi")
-    joined = settle(shared, materialize(components(links), "line_components"), edges, compare, _split(found))
-    placed = nodes.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "first", "n", F.col("component"))
-    best = placed.filter("component is not null").groupBy("component").agg(F.min("first").alias("best"))
+    signed = texts.mapInArrow(_signed, "doc_id long, line_no long, key binary, size long, bands array<long>, sketch array<long>")
+    nodes = materialize(signed.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("size", "bands", "sketch"))).withColumn("node", F.monotonically_increasing_id()), "lines")
+    rows = nodes.select(F.posexplode("bands").alias("at", "key"), "node", "size")
+
+    def items(asked: DataFrame) -> DataFrame:
+        keys = materialize(nodes.select("node", "key").join(asked.select("node").distinct(), "node", "left_semi"), "asked_lines")
+        there = passing(texts.mapInArrow(_asked, "key binary, line string"), "key", key_filter(keys, "key"))
+        return materialize(keys.join(there, "key").groupBy("node").agg(F.any_value("line").alias("item")), "line_texts")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        found = items(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        return pairs.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(_confirm(percent), "a long, b long")
+
+    joined = linked(nodes, rows, Likeness(_agreeing, BANDS * ROWS, percent, sizes=False), confirm, items, _elements, _split(items), limit)
+    placed = materialize(joined.join(nodes.select("node", "key", "first"), "node").select("component", "key", "first"), "linked_lines")
+    best = materialize(placed.groupBy("component").agg(F.min("first").alias("best")), "best_lines")
     # A line that occurs once and has no link keeps itself: only the others are looked up.
-    decided = materialize(placed.filter("component is not null or n > 1").join(best, "component", "left").select("key", F.coalesce("best", "first").alias("best")), "decided_lines")
-    rows = texts.mapInArrow(_keys(False), "doc_id long, line_no long, key binary, line string").select("doc_id", "line_no", "key")
+    several = nodes.filter("n > 1").select("key", F.col("first").alias("best")).join(placed.select("key"), "key", "left_anti")
+    decided = materialize(placed.join(best, "component").select("key", "best").unionByName(several), "decided_lines")
+    rows = texts.mapInArrow(_keys, "doc_id long, line_no long, key binary")
     joined = rows.join(decided, "key", "left").withColumn("best", F.coalesce("best", at))
     return joined.select("doc_id", "line_no", F.col("best.doc_id").alias("keep_doc_id"), F.col("best.line_no").alias("keep_line_no"), (F.col("best") == at).alias("kept"))
 

@@ -19,18 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import key_filter, passing
-from .graph import components
-from .rounds import settle
-from .store import materialize
+from .filters import flagged, key_filter, passing
+from .rounds import LIMIT, Likeness, linked
+from .store import materialize, small_batches
 from .text import U, chunks, combine, mix, shingle_sets
 
-BINS, ROWS = 128, 4
-#: A pair at the threshold agrees in a 4-bit sketch bin with probability 0.8 + 0.2 / 16. Below this
-#: estimate (four standard deviations under the threshold) a candidate isn't compared on full sets.
-LEAST_ESTIMATE = 0.66
+#: Bands of ROWS bins; the rest of the BINS serves the sketch alone.
+BINS, BANDS, ROWS = 128, 25, 5
 #: Further bands by which a large bucket is split, each for all of its members.
-SPLITS = 3
+SPLITS = 6
 _SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 
 
@@ -61,7 +58,7 @@ def densified(values: np.ndarray) -> np.ndarray:
 
 def _signatures(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band_no = mix(np.arange(BINS // ROWS, dtype=U))
+        band_no = mix(np.arange(BANDS, dtype=U))
         nibble = U(4) * np.arange(16, dtype=U)
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
@@ -71,7 +68,7 @@ def _signatures(words: int):
                     ids.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
                     if len(values):
                         s = densified(values)
-                        bands.append(mix(combine_rows(s.reshape(-1, ROWS)) ^ band_no).view(np.int64))
+                        bands.append(mix(combine_rows(banded(s)) ^ band_no).view(np.int64))
                         sketches.append((((s >> U(20)) & U(15)).reshape(8, 16) << nibble).sum(axis=1, dtype=U).view(np.int64))
                     else:
                         bands.append(None)
@@ -85,6 +82,10 @@ def _signatures(words: int):
     return run
 
 
+def banded(signature: np.ndarray) -> np.ndarray:
+    return signature[: BANDS * ROWS].reshape(BANDS, ROWS)
+
+
 def combine_rows(values: np.ndarray) -> np.ndarray:
     """One hash of each row of a matrix."""
     out = np.zeros(len(values), U)
@@ -98,25 +99,6 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(words), _SIGNATURE)
 
 
-def star_edges(bands: DataFrame, orders: int = 1, members: DataFrame | None = None) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)``, a < b, from ``(key, doc)`` rows: each member of a bucket (or
-    those in ``members``) with the bucket's smallest document and with the first and last by ``orders``
-    orders of the bucket's own. At most 1 + 2 * orders pairs a row, so the count grows with the rows
-    and not with a bucket's square."""
-    masks = [F.xxhash64("key", F.lit(i)) for i in range(orders)]
-    ends = [f(F.col("doc").bitwiseXOR(m)).alias(f"{f.__name__}{i}") for i, m in enumerate(masks) for f in (F.min, F.max)]
-    back = [F.col(f"{f}{i}").bitwiseXOR(m) for i, m in enumerate(masks) for f in ("min", "max")]
-    hubs = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("least"), *ends).filter("n > 1").select("key", F.array("least", *back).alias("hubs"))
-    return (
-        (bands if members is None else members)
-        .join(hubs, "key")
-        .select("doc", F.explode(F.array_distinct("hubs")).alias("hub"))
-        .filter("doc <> hub")
-        .select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
-        .distinct()
-    )
-
-
 def _more_bands(words: int, n: int):
     """SPLITS band keys for each band, of signatures that no earlier round has used."""
 
@@ -124,7 +106,7 @@ def _more_bands(words: int, n: int):
         seeds = mix(np.arange(SPLITS, dtype=U) + U(1000 + n * SPLITS))
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                bands = [[combine_rows(densified(np.sort(mix(values ^ s))).reshape(-1, ROWS)) for s in seeds] if len(values) else None for values in shingle_sets(data, offsets, words)]
+                bands = [[combine_rows(banded(densified(np.sort(mix(values ^ s))))) for s in seeds] if len(values) else None for values in shingle_sets(data, offsets, words)]
                 bands = [x if x is None else np.concatenate(x).view(np.int64) for x in bands]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
 
@@ -134,30 +116,41 @@ def _more_bands(words: int, n: int):
 def _split(docs: DataFrame, words: int):
     """Buckets of rows that agree in one of SPLITS further bands, others for each band and round, so that
     a pair that one split parts meets again by another."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = texts_of(docs, "node")
 
     def run(rows: DataFrame, n: int) -> DataFrame:
-        rows = materialize(rows, "large")
         bands = passing(texts, "node", key_filter(rows, "node")).mapInArrow(_more_bands(words, n), "node long, bands array<long>")
-        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("bands", j * (BINS // ROWS) + F.col("at")))))
-        return rows.join(bands.filter("bands is not null"), "node").select(parts.alias("key"), "at", "node").distinct()
+        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("bands", j * BANDS + F.col("at")))))
+        return rows.join(bands.filter("bands is not null"), "node").select(parts.alias("key"), "at", "node", "size").distinct()
 
     return run
 
 
-def _agreeing(x: str, y: str):
-    """Sketch bins that agree, of BINS."""
-    ones = 0x1111111111111111
-    differ = F.transform(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y")), lambda p: p["x"].bitwiseXOR(p["y"]))
-    folded = F.transform(differ, lambda d: F.bit_count((d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3))).bitwiseAND(F.lit(ones))))
-    return F.lit(BINS) - F.aggregate(folded, F.lit(0), lambda s, n: s + n)
+def texts_of(docs: DataFrame, name: str) -> DataFrame:
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias(name), F.col("text").cast("string").alias("text"))
 
 
-def likely(edges: DataFrame, sketches: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
-    """Edges whose sketches don't rule out the threshold."""
-    a, b = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sa")), sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sb"))
-    joined = edges.join(a, "a").join(b, "b")
-    return joined.filter((_agreeing("sa", "sb") / BINS - 1 / 16) / (15 / 16) >= least).select("a", "b")
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of the sketch bins that agree, by row, freed of those that agree by chance."""
+    d = x ^ y
+    d |= d >> U(1)
+    d |= d >> U(2)
+    d &= U(0x1111111111111111)
+    return (1 - np.bitwise_count(d).sum(axis=1) / BINS - 1 / 16) / (15 / 16)
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in shingle_sets(data, offsets, words)], pa.binary())], ["node", "item"])
+
+    return run
+
+
+def _elements(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    items = [np.frombuffer(x, U) for x in table.column(3).to_pylist()]
+    return np.concatenate(items), np.repeat(np.arange(len(items)), [len(x) for x in items])
 
 
 def _confirm(words: int, percent: int):
@@ -180,31 +173,39 @@ def _confirm(words: int, percent: int):
 
 
 def confirmed(docs: DataFrame, edges: DataFrame, words: int, percent: int = 80) -> DataFrame:
-    """Edges with 100 * intersection >= percent * union on the documents' full sets. Texts of documents
+    """Edges (a table) with 100 * intersection >= percent * union on the documents' full sets. Texts of documents
     without a candidate stay where they are; one exchange of the others serves both ends of the pairs."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     asked = edges.select(F.explode(F.array("a", "b")).alias("doc"))
-    texts = passing(texts, "doc", key_filter(asked, "doc"))
+    texts = passing(texts_of(docs, "doc"), "doc", key_filter(asked, "doc"))
     one, two = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     return edges.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
+def classes(signed: DataFrame) -> DataFrame:
+    """``signed`` with ``doc``, the smallest doc_id with an equal set. Only rows whose set may occur again are
+    looked up; a class's size is counted before the shuffle."""
+    again = materialize(signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")).filter("n > 1").select("set_id", "doc"), "copies")
+    told = flagged(signed, "set_id", key_filter(again, "set_id"), "maybe").withColumn("maybe", F.col("maybe") & F.col("set_id").isNotNull())
+    looked = told.filter("maybe").join(again, "set_id", "left").withColumn("doc", F.coalesce("doc", "doc_id"))
+    return told.filter("not maybe").withColumn("doc", F.col("doc_id")).unionByName(looked)
+
+
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
 
-    Candidates come from 32 bands of 4 bins. The first round compares a bucket's members with its
-    smallest document; further rounds look at the buckets that still hold several components, by
-    keys of one band more in each round, until none is left (see ``rounds``)."""
+    Candidates come from 25 bands of 5 bins: a pair at 0.8 shares none with probability 5e-5. First each
+    member of a bucket is compared with the bucket's smallest document. Buckets that then still hold
+    several components are searched by sketches within a task; pairs that these leave open are compared
+    on full sets, where there are many of them within the bucket's task. Buckets of over ``limit``
+    members are split by more bands, until none is left (see ``rounds``)."""
+    small_batches(docs.sparkSession)
     signed = materialize(signatures(docs, words), "signatures")
-    classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"))
-    signed_class = materialize(signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("doc", "doc_id").alias("doc")), "classes")
-    reps = signed.filter("set_id is not null").join(classes, ["set_id"]).filter(F.col("doc_id") == F.col("doc")).dropDuplicates(["doc_id", "set_id"])
-    bands = reps.select("doc", F.posexplode("bands").alias("at", "key"))
-    sketches = reps.select("doc", "sketch")
-    candidates = materialize(likely(star_edges(bands, 0), sketches), "candidates")
-    links = materialize(confirmed(docs, candidates, words, percent), "links")
-    found = materialize(components(links), "components")
-    compare = lambda edges: confirmed(docs, materialize(likely(edges, sketches), "likely"), words, percent)
-    found = settle(bands.withColumnRenamed("doc", "node"), found, candidates, compare, _split(docs, words))
-    out = signed_class.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
+    placed = materialize(classes(signed), "classes")
+    # A set that occurs once has one row; of a class, rows that share the smallest doc_id are alike.
+    first = placed.filter("set_id is not null and doc_id = doc").select(F.col("doc").alias("node"), F.col("n_shingles").alias("size"), "bands", "sketch", "maybe", "set_id")
+    reps = materialize(first.filter("not maybe").unionByName(first.filter("maybe").dropDuplicates(["node", "set_id"])).drop("maybe", "set_id"), "representatives")
+    rows = reps.select(F.posexplode("bands").alias("at", "key"), "node", "size")
+    items = lambda nodes: passing(texts_of(docs, "node"), "node", key_filter(nodes, "node")).mapInArrow(_sets(words), "node long, item binary")
+    found = linked(reps, rows, Likeness(_agreeing, BINS, percent), lambda edges: confirmed(docs, edges, words, percent), items, _elements, _split(docs, words), limit)
+    out = placed.select("doc_id", "n_shingles", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

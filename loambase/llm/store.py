@@ -11,9 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one of this application's own."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; on a
+    cluster that would scatter tables over the machines, so it is an error there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-loambase-')}"
@@ -21,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession, size: str = "8MB") -> None:
+    """Bound the bytes of a batch that goes to a Python worker, unless the session does: rows are whole
+    documents, and 10,000 long ones don't fit."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loambase/{label}-{uuid.uuid4().hex}"
 
