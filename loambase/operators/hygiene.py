@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import kebab
+from ..sources.scratch import materialize
 
 #: Fixed value: words that don't count as significant.
 STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "it", "this", "that", "to", "of", "in", "on", "and", "or", "for", "with", "as", "by"]
@@ -94,21 +97,31 @@ def stale(notes: DataFrame, now: str, old_days: int = 90, fresh_days: int = 30)
     return old.join(newer, ["project", "age"]).select("id", F.floor(F.col("age") / 86400).cast("long").alias("age_days"), "newer")
 
 
+def settled(decisions: DataFrame) -> DataFrame:
+    """The decisions (rank, winner, loser) that count: neither side lost in one of smaller rank that counts.
+
+    In rounds: an open decision that is of least rank at both its notes can't be overruled and counts; those
+    that touch its loser fall. Equal ranks go by winner, then loser."""
+    order = F.struct("rank", "winner", "loser")
+    open_, done = materialize(decisions.select("rank", "winner", "loser").distinct(), "decisions"), []
+    while not open_.isEmpty():
+        least = open_.select(order.alias("o"), F.explode(F.array("winner", "loser")).alias("id")).groupBy("id").agg(F.min("o").alias("least"))
+        first = materialize(open_.join(least.toDF("winner", "x"), "winner").join(least.toDF("loser", "y"), "loser").filter((F.col("x") == order) & (F.col("y") == order)).select("rank", "winner", "loser"), "counted")
+        done.append(first)
+        lost = first.select("loser").distinct()
+        open_ = materialize(open_.join(lost, "loser", "left_anti").join(lost.toDF("winner"), "winner", "left_anti").select("rank", "winner", "loser"), "decisions")
+    return reduce(DataFrame.unionByName, done) if done else open_
+
+
 def apply_decisions(notes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Notes (id, confidence, archived) after decisions (rank, a, b, keep): keep A or B archives the
     other; merge keeps the more confident, A on ties. A decision counts only if neither side lost
-    in one of smaller rank. Winners list whom they beat."""
+    in one of smaller rank that counts. Winners list whom they beat."""
     conf = notes.select("id", "confidence")
     one, two = conf.toDF("a", "ca"), conf.toDF("b", "cb")
-    told = decisions.join(one, "a").join(two, "b").withColumn("b_wins", (F.col("keep") == "B") | ((F.col("keep") == "merge") & (F.col("cb") > F.col("ca"))))
-    told = told.select("rank", F.when(F.col("b_wins"), F.col("b")).otherwise(F.col("a")).alias("winner"), F.when(F.col("b_wins"), F.col("a")).otherwise(F.col("b")).alias("loser"))
-    lost, kept = set(), []
-    for r in told.orderBy("rank").limit(1000).collect():  # a review gives some tens of decisions
-        if r["winner"] not in lost and r["loser"] not in lost:
-            lost.add(r["loser"])
-            kept.append((r["winner"], r["loser"]))
-    done = notes.sparkSession.createDataFrame(kept, "winner long, loser long")
+    told = decisions.filter("a <> b").join(one, "a").join(two, "b").withColumn("b_wins", (F.col("keep") == "B") | ((F.col("keep") == "merge") & (F.col("cb") > F.col("ca"))))
+    done = settled(told.select("rank", F.when(F.col("b_wins"), F.col("b")).otherwise(F.col("a")).alias("winner"), F.when(F.col("b_wins"), F.col("a")).otherwise(F.col("b")).alias("loser")))
     beaten = done.groupBy(F.col("winner").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("loser").cast("string"))), ",").alias("beat"))
     losers = done.select(F.col("loser").alias("id"), F.lit(True).alias("lost")).distinct()
-    out = notes.join(F.broadcast(losers), "id", "left").join(F.broadcast(beaten), "id", "left")
+    out = notes.join(losers, "id", "left").join(beaten, "id", "left")
     return out.withColumn("archived", F.coalesce("lost", "archived")).withColumn("beat", F.coalesce("beat", F.lit(""))).drop("lost")
