@@ -1,27 +1,12 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables in the folder that driver and executors share, and the size of batches for Python workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.scratch import materialize, scratch_path, shared_dir
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; on a
-    cluster that would scatter tables over the machines, so it is an error there."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='spark-loambase-')}"
-        base = _OWN[app]
-    return base.rstrip("/")
+__all__ = ["materialize", "scratch_path", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, size: str = "8MB") -> None:
@@ -30,15 +15,3 @@ def small_batches(spark: SparkSession, size: str = "8MB") -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, size)
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/loambase/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage: a lost
-    executor costs the tasks it ran, not the steps before."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

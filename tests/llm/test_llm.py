@@ -360,12 +360,34 @@ def test_exact(spark, awkward):
     by = defaultdict(list)
     for d, t, *_ in rows:
         by[re.sub(r"[\x20\x09-\x0D]+", "", t or "")].append((-len(t or ""), d is not None, d or 0, d))
-    want = sorted(((m[3], min(g)[3], len(g), m[3] == min(g)[3], hashlib.sha256(n.encode()).hexdigest()) for n, g in by.items() for m in g), key=str)
+    want = sorted(((m[3], min(g)[3], len(g), i == 0, hashlib.sha256(n.encode()).hexdigest()) for n, g in by.items() for i, m in enumerate(sorted(g))), key=str)
     for by_text in (False, True):
         groups = exact.recipes(docs, by_text).groupBy("recipe").count().collect()
         assert sorted(r["count"] for r in groups) == sorted(map(len, by.values()))
     assert sorted(map(tuple, exact.exact_duplicates(docs).collect()), key=str) == want
     assert exact.exact_duplicates(docs.limit(0)).count() == 0
+    few = spark.createDataFrame([(1, "ab c"), (1, "ab c"), (1, "abc"), (2, "abc")], "doc_id long, text string")
+    assert sorted(r.kept for r in exact.exact_duplicates(few).collect()) == [False, False, False, True]
+
+
+def test_exact_clash(spark, monkeypatch):
+    """A digest that stands for several chunks parts no equal texts and joins no others."""
+    rows = [(1, "abc"), (2, "abd"), (3, "ab d"), (4, "xyz"), (5, "x yz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda docs: docs.filter("text like 'ab%'").select(F.unhex(F.sha2(exact.normalised(F.col("text")), 256)).alias("digest")).distinct()
+    monkeypatch.setattr(exact, "clashing", weak)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact.exact_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (3, 2), 3: (3, 2), 4: (5, 2), 5: (5, 2)}
+
+
+def test_chunks_without_punctuation():
+    """Two texts that differ at their start have most chunks in common, whatever their script."""
+    duckless = re.compile(exact._CHUNK.replace("\\p{P}", "!-/:-@"))
+    rng = np.random.default_rng(1)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "的一是不了在人天地水火山石田土", "のはをにがでとさしすせそ"):
+        body = "".join(rng.choice(list(letters), 60_000))
+        one, two = set(duckless.findall(body)), set(duckless.findall("!?" + body[7:]))
+        assert len(one & two) > 0.7 * len(one)
 
 
 def test_sharding(spark, awkward):
