@@ -9,11 +9,11 @@ of that length. A document's evidence is the sum of -ln E over its segments with
 logistic curve fitted to labelled documents turns it into a score.
 
 Counts are of documents per feature in a table of ``BUCKETS`` hash buckets, so that the model has
-one size on any corpus. It is learned on at most ``most_labels`` labelled rows, chosen by a hash of
-the doc_id; each document is calibrated with its own counts taken out. Scores come from texts
-alone. Null and empty texts hold no words and have the least score. Several labels of one doc_id:
+one size on any corpus. They are learned on at most ``most_labels`` labelled rows, chosen by a hash of
+the doc_id. The extreme-value law and the logistic curve are fitted to all labelled rows; one that the
+counts hold has its own taken out. Scores come from texts alone. Null and empty texts hold no words and have the least score. Several labels of one doc_id:
 any toxic one counts. Rows that share a doc_id are scored one by one. Without toxic or without clean
-rows to learn from, all scores are 0.
+rows to learn from, all scores are under 1e-8.
 """
 
 from __future__ import annotations
@@ -28,15 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .filters import key_filter, passing
+from .store import materialize, small_batches
 
 BUCKETS = 1 << 20
 LEVELS = (4, 5, 6, 7, 8)
 #: Weight of each level's prior, in documents; and what every word's log-odds is lowered by.
 PRIOR, SHIFT = 4.0, 0.7
 _WORD = re.compile(r"\w+")
-#: Words remembered by a worker.
-_MOST_CACHED = 300_000
+#: Words remembered by a task (some 25 MB).
+_MOST_CACHED = 100_000
+#: Segments of a lower score aren't looked at.
+LEAST_SEGMENT = 1.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,7 +58,7 @@ def features(word: str) -> list[int]:
 
 
 class _Table:
-    """Features of the words that a worker met lately."""
+    """Features of the words that a task met lately."""
 
     def __init__(self) -> None:
         self.at: dict[str, int] = {}
@@ -84,7 +87,6 @@ class Model:
     k: float = 1.0
     intercept: float = -20.0
     slope: float = 0.0
-    name: str = ""
 
     def log_odds(self, rows: np.ndarray, own: int | None = None) -> np.ndarray:
         """Of words with these features; ``own``: the label of the document they come from, whose counts go."""
@@ -130,13 +132,13 @@ def _calibration(shared):
         model, table = shared.value, _Table()
         for batch in batches:
             out = {"toxic": batch.column(1).to_pylist(), "n": [], "segments": [], "moments": []}
-            for text, toxic in zip(batch.column(0), out["toxic"], strict=True):
+            for text, toxic, counted in zip(batch.column(0), out["toxic"], batch.column(2).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 known = list(set(words))
-                by_word = dict(zip(known, model.log_odds(table.of(known), toxic).tolist(), strict=True)) if known else {}
+                by_word = dict(zip(known, model.log_odds(table.of(known), toxic if counted else None).tolist(), strict=True)) if known else {}
                 scores = np.array([by_word[w] for w in words])
                 out["n"].append(len(words))
-                out["segments"].append([s for s, _, _ in segments(scores) if s >= 1])
+                out["segments"].append([s for s, _, _ in segments(scores) if s >= LEAST_SEGMENT])
                 out["moments"].append(np.exp(np.outer(_LAMBDAS, scores)).sum(axis=1).tolist() if len(scores) else [0.0] * len(_LAMBDAS))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("segments", pa.list_(pa.float64())), ("moments", pa.list_(pa.float64()))]))
 
@@ -148,21 +150,24 @@ _LAMBDAS = np.arange(0.2, 5.01, 0.2)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most_labels: int) -> DataFrame:
-    """text, toxic of the rows to learn from. At most ``most_labels`` ids and labels (16 bytes each)
-    are broadcast; the texts don't move."""
+    """text, toxic, counted of the rows to learn from; ``counted``: among the ``most_labels`` ids whose words are
+    counted (16 bytes each; broadcast). Texts that surely have no label don't move."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    chosen = known.filter(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(most_labels)
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(F.broadcast(chosen), "id").select("text", "toxic")
+    known = materialize(known.filter(~held_out(F.col("id"))), "labels")
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_labels).select("id", F.lit(True).alias("counted"))
+    texts = passing(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), "id", key_filter(known, "id"))
+    return texts.join(known.join(F.broadcast(chosen), "id", "left"), "id").select("text", "toxic", F.coalesce("counted", F.lit(False)).alias("counted"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = 40_000) -> Model:
+    small_batches(docs.sparkSession)
     rows = labelled(docs, labels, most_labels)
-    counts = rows.mapInArrow(_count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = rows.filter("counted").select("text", "toxic").mapInArrow(_count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     table = counts.toArrow()  # BUCKETS rows at most
     toxic, clean = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     at = table["bucket"].to_numpy()
     toxic[at], clean[at] = table["toxic"].to_numpy(), table["clean"].to_numpy()
-    model = Model(toxic, clean, float(toxic.sum() / max(1.0, clean.sum())), name=str(zlib.crc32(toxic.tobytes() + clean.tobytes())))
+    model = Model(toxic, clean, float(toxic.sum() / max(1.0, clean.sum())))
     if not toxic.any() or not clean.any():
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -199,15 +204,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0]), float(max(0.0, beta[1]))
 
 
-_SCORES: dict[str, dict[str, float]] = {}
-
-
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value, _Table()
-        if model.name not in _SCORES:
-            _SCORES.clear()
-        cache = _SCORES.setdefault(model.name, {})
+        model, cache = shared.value, {}
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
         for batch in batches:
             scores, passages = [], []
@@ -219,10 +218,10 @@ def _score(shared):
                     if len(cache) + len(fresh) > _MOST_CACHED:
                         cache.clear()
                         fresh = list(set(words))
-                    cache.update(zip(fresh, model.log_odds(table.of(fresh)).tolist(), strict=True))
+                    cache.update(zip(fresh, model.log_odds(np.array([features(w) for w in fresh], np.int32)).tolist(), strict=True))
                 by_word = np.fromiter(map(cache.__getitem__, words), float, len(words))
                 floor = np.log(max(model.k * len(words), 1e-300)) if words else 0.0
-                toxic = [(s, a, b) for s, a, b in segments(by_word) if model.lam * s > floor]
+                toxic = [(s, a, b) for s, a, b in segments(by_word) if s >= LEAST_SEGMENT and model.lam * s > floor]
                 evidence = sum(model.lam * s - floor for s, _, _ in toxic)
                 scores.append(float(1 / (1 + np.exp(-np.clip(model.intercept + model.slope * np.log1p(evidence), -30, 30)))))
                 at = [m.span() for m in _WORD.finditer(text.lower())] if toxic else []
@@ -235,6 +234,7 @@ def _score(shared):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, passages (character spans of the lower-cased text, their scores and
     expected counts), one row per row of ``docs``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(shared), "doc_id long, score double, passages array<struct<start:long,end:long,score:double,e_value:double>>")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -242,6 +242,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic. Texts are scored where they lie."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, schema = [f"c{i}" for i in range(len(docs.columns))], docs.schema
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
