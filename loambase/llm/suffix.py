@@ -4,17 +4,17 @@ A window is a string of 100 bytes within a document; all windows that equal an e
 doc_id, or the same document and an earlier start) have their bytes removed.
 
 1. Every window is assigned to the least hash of the 24-byte strings in it, so that equal windows
-   share it. Consecutive windows with one hash are a range (about 40 windows). Ranges with equal
-   hash and equal bytes (by a 64-bit fingerprint on top of the 64-bit hash) are copies: all but the
-   first are removed as a whole. Copies within a batch are settled before the shuffle, so that a
-   passage in a third of all documents sends one row per batch.
-2. Where one hash has ranges of different bytes, the first of each kind is fetched (about 140 bytes)
-   and their suffixes are sorted in batches: suffixes smaller than their successors directly, by
-   eight bytes at a time among those still tied; the rest by scanning the buckets of first bytes in
-   order, each placed by its successor's rank. Neighbours with a common prefix of 100 bytes are
-   equal windows.
-3. A hash with more than ``MOST_RANGES`` kinds of ranges isn't sorted in one task: its windows are
-   compared by 128-bit fingerprints, with minima combined before the shuffle.
+   share it. Consecutive windows with one hash are a range (about 40 windows). The hash is but a route:
+   it brings ranges together, and whatever is removed has been compared byte by byte. Copies within a
+   batch are settled before the shuffle, so that a passage in a third of all documents sends one row
+   per batch.
+2. Where one hash has several ranges, or one that may repeat itself, their bytes are fetched (about 140
+   each). Equal ones of a task become one. The suffixes of all are then sorted in batches: suffixes
+   smaller than their successors directly, by eight bytes at a time among those still tied; the rest by
+   scanning the buckets of first bytes in order, each placed by its successor's rank. Neighbours with a
+   common prefix of 100 bytes are equal windows.
+3. A route with more than ``MOST_RANGES`` ranges isn't sorted in one task: its windows are sent by a
+   further prefix of theirs (32, 64, 100 bytes, as long as a part is too large) and sorted there.
 
 Null text is empty. Null doc_ids count as the smallest. Rows that share a doc_id are one document, of
 which a window counts once for each position; each row is cut by what any of them has repeated.
@@ -24,18 +24,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import flagged, key_filter
-from .store import materialize
+from .filters import flagged, key_filter, passing
+from .store import materialize, small_batches
 from .text import U, _power, _BASE, chunks, mix, prefix_hash, span_hash
 
 WINDOW, GRAM = 100, 24
-#: Windows of a range at most; only runs of repeated content reach it. Kinds of ranges sorted in one task.
+#: Windows of a range at most; only runs of repeated content reach it. Ranges of a route that are sorted in one task.
 MOST_WINDOWS, MOST_RANGES = 256, 4000
 _NO_ID = -(1 << 63)
 _RUNS = "doc long, start long, n int"
@@ -93,70 +94,65 @@ def ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (route, kind, doc, place): place is start * 2048 + windows * 4, plus 2 if its own windows may
+    """Rows (route, doc, place): place is start * 2048 + windows * 4, plus 2 if its own windows may
     be equal, plus 1 if it is a copy of an earlier range of its batch; those go anywhere."""
     for batch in batches:
         docs = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
         parts: list[tuple[np.ndarray, ...]] = []
+        bodies: list[bytes] = []
         for lo, _, data, offsets in chunks(batch.column(1)):
             row, start, n, h, c, own = ranges(data, offsets)
-            parts.append((docs[lo + row], start - offsets[row], n, h, c, own))
+            parts.append((docs[lo + row], start - offsets[row], n, h, c, own, np.full(len(row), len(bodies)), start))
+            bodies.append(data.tobytes())
         if not parts:
             continue
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         order = np.lexsort((columns[1], columns[0], columns[4], columns[3]))
-        doc, start, n, h, c, own = (x[order] for x in columns)
+        doc, start, n, h, c, own, body, at = (x[order] for x in columns)
         same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-        again = np.zeros(len(h), bool)
-        again[1:] = same[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+        same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (n[1:] == n[:-1])
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(h)))) if len(h) else same
-        again |= same & (doc == doc[first]) & (start == start[first])
+        again = same & (doc == doc[first]) & (start == start[first])
+        for i in np.flatnonzero(same & ~again).tolist():
+            f, size = first[i], n[i] + WINDOW - 1
+            same[i] = bodies[body[i]][at[i] : at[i] + size] == bodies[body[f]][at[f] : at[f] + size]
         keep = ~again
         route = np.where(same, mix(doc.astype(U) + c), h).view(np.int64)[keep]
-        place = (start * 2048 + n * 4 + own * 2 + same)[keep]
-        for at in range(0, len(route), 200_000):
-            part = slice(at, at + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(c.view(np.int64)[keep][part]), pa.array(doc[keep][part]), pa.array(place[part])], ["route", "kind", "doc", "place"])
+        doc, place = doc[keep], (start * 2048 + n * 4 + own * 2 + same)[keep]
+        for lo in range(0, len(route), 200_000):
+            part = slice(lo, lo + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(doc[part]), pa.array(place[part])], ["route", "doc", "place"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of route, kind, doc and place: removed ranges (route null), and the first
-    range of each kind where a route has several kinds or that may have equal windows of its own."""
-    held = None  # route, kind, doc, place, and whether its route had a kind before: the last first range
+    """From rows in order of route, doc and place: removed ranges (route null), and all ranges of routes with
+    several or with one that may have equal windows of its own."""
+    held = None  # route, doc, place of the last range, and whether it is known to be sent
+
+    def rows(doc: np.ndarray, place: np.ndarray, route: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place >> 11), pa.array(((place & 2047) >> 2).astype(np.int32)), pa.nulls(len(doc), pa.int64()) if route is None else pa.array(route)], ["doc", "start", "n", "route"])
+
     for batch in batches:
-        route, kind, doc, place = (batch.column(i).to_numpy() for i in range(4))
+        route, doc, place = (batch.column(i).to_numpy() for i in range(3))
         copy = (place & 1) == 1
-        out = [(doc[copy], place[copy], None)]
-        route, kind, doc, place = route[~copy], kind[~copy], doc[~copy], place[~copy]
-        if len(route):
-            if held is not None:
-                route, kind, doc, place = (np.concatenate([[h], x]) for h, x in zip(held[:4], (route, kind, doc, place), strict=True))
-            new_route = np.ones(len(route), bool)
-            new_route[1:] = route[1:] != route[:-1]
-            new = new_route.copy()
-            new[1:] |= kind[1:] != kind[:-1]
-            firsts = np.flatnonzero(new)
-            of = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            gone = ~new & ((doc != doc[of]) | (place != place[of]))
-            out.append((doc[gone], place[gone], None))
-            r = route[firsts]
-            several = np.zeros(len(r), bool)
-            several[1:] = r[1:] == r[:-1]
-            before = several.copy()
-            if held is not None:
-                before[0] = several[0] = held[4]
-            several[:-1] |= r[1:] == r[:-1]
-            last = firsts[-1]
-            held = (route[last], kind[last], doc[last], place[last], bool(before[-1]))
-            several |= (place[firsts] & 2) == 2
-            send = firsts[:-1][several[:-1]]
-            out.append((doc[send], place[send], route[send]))
-        for d, p, r in out:
-            if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p >> 11), pa.array(((p & 2047) >> 2).astype(np.int32)), pa.nulls(len(d), pa.int64()) if r is None else pa.array(r)], ["doc", "start", "n", "route"])
-    if held is not None and (held[4] or held[3] & 2):
-        yield pa.RecordBatch.from_arrays([pa.array([held[2]], pa.int64()), pa.array([held[3] >> 11], pa.int64()), pa.array([(held[3] & 2047) >> 2], pa.int32()), pa.array([held[0]], pa.int64())], ["doc", "start", "n", "route"])
+        if copy.any():
+            yield rows(doc[copy], place[copy], None)
+        route, doc, place = route[~copy], doc[~copy], place[~copy]
+        if not len(route):
+            continue
+        if held is not None:
+            route, doc, place = (np.append(h, x) for h, x in zip(held[:3], (route, doc, place), strict=True))
+        again = (route[1:] == route[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+        once = np.append(True, ~again)
+        route, doc, place = route[once], doc[once], place[once]
+        same = route[1:] == route[:-1]
+        send = ((place & 2) == 2) | np.append(False, same) | np.append(same, False)
+        if held is not None:
+            send[0] |= held[3]
+        yield rows(doc[:-1][send[:-1]], place[:-1][send[:-1]], route[:-1][send[:-1]])
+        held = (route[-1], doc[-1], place[-1], bool(send[-1]))
+    if held is not None and held[3]:
+        yield rows(np.array([held[1]]), np.array([held[2]]), np.array([held[0]]))
 
 
 def two_stage_order(data: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -276,33 +272,74 @@ def as_runs(d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(d)) - 1
+    tails = np.append(heads[1:], len(d))[: len(heads)] - 1
     return d[heads], p[heads], p[tails] - p[heads] + 1
 
 
+class _Combined:
+    """Ranges of one task by route and bytes: of equal ones the first stays, the others are removed."""
+
+    def __init__(self) -> None:
+        self.first: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.gone: list[tuple[int, int, int]] = []
+        self.size = 0
+
+    def add(self, route: int, doc: int, start: int, block: bytes) -> None:
+        here = self.first.setdefault((route, block), (doc, start))
+        if here == (doc, start):
+            self.size += len(block) + 200
+            return
+        if (doc, start) < here:
+            self.first[route, block] = doc, start
+            doc, start = here
+        self.gone.append((doc, start, len(block) - WINDOW + 1))
+
+    def rows(self, every: bool) -> Iterator[pa.RecordBatch]:
+        """What has come together, if it is much or all: rows (route, doc, start, n, block), removed ones without route and block."""
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        names = ["route", "doc", "start", "n", "block"]
+        if self.gone and (every or len(self.gone) > 50_000):
+            doc, start, n = zip(*self.gone, strict=True)
+            none = [None] * len(doc)
+            self.gone = []
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, doc, start, n, none), kinds, strict=True)], names)
+        if every or self.size > 48 << 20:
+            held, self.first, self.size = list(self.first.items()), {}, 0
+            for at in range(0, len(held), 20_000):
+                part = held[at : at + 20_000]
+                columns = [k[0] for k, _ in part], [v[0] for _, v in part], [v[1] for _, v in part], [len(k[1]) - WINDOW + 1 for k, _ in part], [k[1] for k, _ in part]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the wanted ranges (doc, text, wanted)."""
+    found = _Combined()
     for batch in batches:
-        docs, routes, starts, sizes, blocks, size = [], [], [], [], [], 0
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             body = (text.as_py() or "").encode()
             w = wanted.values
             for route, start, n in zip(w.field("route").to_pylist(), w.field("start").to_pylist(), w.field("n").to_pylist(), strict=True):
                 block = body[start : start + n + WINDOW - 1]
                 if len(block) == n + WINDOW - 1:
-                    docs.append(doc)
-                    routes.append(route)
-                    starts.append(start)
-                    sizes.append(n)
-                    blocks.append(block)
-                    size += len(block)
-            if size > 1 << 22:
-                yield _fetched(docs, routes, starts, sizes, blocks)
-                docs, routes, starts, sizes, blocks, size = [], [], [], [], [], 0
-        yield _fetched(docs, routes, starts, sizes, blocks)
+                    found.add(route, doc, start, block)
+            yield from found.rows(False)
+    yield from found.rows(True)
+
 
+def _by_prefix(size: int):
+    """The windows of ranges (route, doc, start, n, block) as ranges of their own, by their first ``size`` bytes."""
 
-def _fetched(docs, routes, starts, sizes, blocks) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(routes, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary())], ["route", "doc", "start", "n", "block"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Combined()
+        for batch in batches:
+            for route, doc, start, n, block in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for i in range(n):
+                    digest = hashlib.blake2b(block[i : i + size], digest_size=8, salt=route.to_bytes(8, "little", signed=True)).digest()
+                    found.add(int.from_bytes(digest, "little", signed=True), doc, start + i, block[i : i + WINDOW])
+                yield from found.rows(False)
+        yield from found.rows(True)
+
+    return run
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,14 +378,6 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per window: 128-bit fingerprint, doc, start."""
-    for batch in batches:
-        for doc, start, n, block in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-            prints = [hashlib.blake2b(block[i : i + WINDOW], digest_size=16).digest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([doc] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())], ["print", "doc", "start"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, gone, spans, digests = [], [], [], []
@@ -378,20 +407,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(docs: DataFrame, most_ranges: int = MOST_RANGES) -> DataFrame:
     """doc, start, n: runs of window starts that repeat earlier windows. They may overlap."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    scanned = texts.mapInArrow(_scan, "route long, kind long, doc long, place long")
-    settled = scanned.repartition("route").sortWithinPartitions("route", "kind", "doc", "place").mapInArrow(_settle, "doc long, start long, n int, route long")
+    scanned = texts.mapInArrow(_scan, "route long, doc long, place long")
+    settled = scanned.repartition("route").sortWithinPartitions("route", "doc", "place").mapInArrow(_settle, "doc long, start long, n int, route long")
     settled = materialize(settled, "settled")
-    firsts = settled.filter("route is not null")
-    many = firsts.groupBy("route").count().filter(F.col("count") > most_ranges).select("route", F.lit(True).alias("many"))
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("route", "start", "n")).alias("wanted"))
-    near = flagged(texts, "doc", key_filter(firsts, "doc")).filter("__maybe").select("doc", "text")
-    blocks = materialize(near.join(wanted, "doc").mapInArrow(_fetch, "route long, doc long, start long, n int, block binary").join(many, "route", "left"), "ranges")
-    few = blocks.filter("many is null").drop("many").repartition("route").sortWithinPartitions("route").mapInArrow(_sorted, _RUNS)
-    single = blocks.filter("many").drop("many").mapInArrow(_single_windows, "print binary, doc long, start long").distinct()
-    least = single.groupBy("print").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).filter("k > 1")
-    rest = single.join(least, "print").filter(F.col("first") != F.struct("doc", "start")).select("doc", "start", F.lit(1).alias("n"))
-    return settled.filter("route is null").select("doc", "start", "n").unionByName(few).unionByName(rest)
+    asked = settled.filter("route is not null")
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("route", "start", "n")).alias("wanted"))
+    near = passing(texts, "doc", key_filter(asked, "doc")).select("doc", "text")
+    kind = "route long, doc long, start long, n int, block binary"
+    blocks = materialize(near.join(wanted, "doc").mapInArrow(_fetch, kind), "ranges")
+    runs = [settled.filter("route is null").select("doc", "start", "n")]
+    for prefix in (32, 64, WINDOW, None):
+        runs.append(blocks.filter("route is null").select("doc", "start", "n"))
+        blocks = blocks.filter("route is not null")
+        counts = blocks.groupBy("route").agg(F.count("*").alias("k"))
+        many = materialize(counts.filter(F.col("k") > most_ranges).select("route"), "large_routes")
+        last = prefix is None or many.isEmpty()
+        few = blocks if last else blocks.join(many, "route", "left_anti").select(*blocks.columns)
+        runs.append(few.repartition("route").sortWithinPartitions("route").mapInArrow(_sorted, _RUNS))
+        if last:
+            break
+        blocks = materialize(blocks.join(many, "route", "left_semi").select(*blocks.columns).mapInArrow(_by_prefix(prefix), kind), "windows")
+    return reduce(DataFrame.unionByName, runs)
 
 
 def without_repeats(docs: DataFrame, most_ranges: int = MOST_RANGES) -> DataFrame:
