@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import scrub
+
 #: Posted prices in USD per million tokens, in table order.
 PRICES = [
     ("anthropic", "claude-haiku-4-5-20251001", 1.0, 5.0),
@@ -71,14 +73,27 @@ def windows(records: DataFrame) -> DataFrame:
     return records.groupBy(F.window("ts", "7 days", "7 days", "4 days").alias("w"), "stage", "provider").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens")).select(F.date_format("w.start", "yyyy-MM-dd").alias("week"), "stage", "provider", "calls", "input_tokens")
 
 
-def preview(sessions: DataFrame, table: DataFrame, model: str, provider: str) -> DataFrame:
-    """Estimated cost of the sessions not yet processed."""
-    price = table.filter((F.col("p_provider") == provider) & (F.col("p_model") == model)).select("input_price", "output_price")
-    each = sessions.crossJoin(F.broadcast(price)).select((F.ceil(F.length("text") / 3) / 1e6 * F.col("input_price") + 350 / 1e6 * F.col("output_price") + F.ceil(F.length("text") / 3) / 1e6 * F.col("input_price") + 4500 / 1e6 * F.col("output_price")).alias("usd"))
-    return each.agg(F.count("*").alias("sessions"), F.round(F.sum("usd"), 6).alias("usd"))
+def call(characters: Column, output_tokens: int, price: str = "price") -> Column:
+    """USD of a call with so many characters of input, three to a token."""
+    return F.ceil(characters / 3) / 1e6 * F.col(f"{price}.input_price") + output_tokens / 1e6 * F.col(f"{price}.output_price")
+
+
+def estimated(sessions: DataFrame, table: DataFrame, classify: str, distil: str, provider: str) -> DataFrame:
+    """sessions (raw_summary, transcript, ...) with usd: what classifying and distilling them would cost, secrets
+    redacted first. Unknown models cost nothing."""
+    both = table.filter(F.col("p_provider") == provider).agg(*(F.coalesce(F.first(F.when(F.col("p_model") == m, F.struct("input_price", "output_price")), True), F.struct(F.lit(0.0).alias("input_price"), F.lit(0.0).alias("output_price"))).alias(n) for m, n in ((classify, "one"), (distil, "two"))))
+    usd = call(F.length(scrub(F.col("raw_summary"))), 350, "one") + call(F.length(scrub(F.col("transcript"))), 4500, "two")
+    return sessions.join(F.broadcast(both)).withColumn("usd", usd).drop("one", "two")
+
+
+def preview(sessions: DataFrame, table: DataFrame, classify: str, distil: str, provider: str) -> DataFrame:
+    """sessions, filtered_out, usd: the cost of sessions not yet processed (passes, raw_summary, transcript). Those
+    that don't pass the gate are counted apart and cost nothing."""
+    each = estimated(sessions, table, classify, distil, provider)
+    return each.agg(F.count_if("passes").alias("sessions"), F.count_if(~F.col("passes")).alias("filtered_out"), F.round(F.coalesce(F.sum(F.when(F.col("passes"), F.col("usd"))), F.lit(0.0)), 6).alias("usd"))
 
 
-def running(records: DataFrame) -> DataFrame:
-    """First and last record per session in record order."""
-    w = Window.partitionBy("session").orderBy("event_id")
-    return records.withColumn("n", F.row_number().over(w))
+def collateral(targets: DataFrame, calls: DataFrame) -> DataFrame:
+    """targets (session, ...) with ``paid``: whether a distilling call of the session has cost anything."""
+    paid = calls.filter((F.col("stage") == "distill") & F.col("session").isNotNull() & (F.col("usd") > 0)).select("session", F.lit(True).alias("paid")).distinct()
+    return targets.join(paid, "session", "left").withColumn("paid", F.coalesce("paid", F.lit(False)))

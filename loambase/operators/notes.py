@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import body, kebab, preview
+from ..functions.replies import strip_related
+from ..functions.text import kebab, note_slug, preview
 
 CATEGORIES = ["pattern", "gotcha", "decision", "tool"]
 #: Fixed value: words that mark a session worth keeping.
@@ -144,6 +145,58 @@ def index_table(notes: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.select("kind", "path", "date", F.concat(F.lit("| "), "date", F.lit(" | "), "kind", F.lit(" | "), "topic", F.lit(" |")).alias("row")).orderBy(F.desc("date"), "path")
 
 
+def quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+#: Fields that a review leaves in a note, in order.
+REVIEW_FIELDS = ["verified", "reviewed_at", "rejected_at"]
+
+
+def preserved(content: Column) -> Column:
+    """Struct of review (the review fields' lines, in order) and themes (the lines of the themes block; none
+    without items) of a note's text; empty for a new note."""
+    lines = F.split(F.regexp_extract(F.coalesce(content, F.lit("")), r"^---\n([\s\S]*?)\n---", 1), "\n")
+    key = lambda x: F.trim(F.substring_index(x, ":", 1))
+    first = lambda k: F.get(F.filter(lines, lambda x: (F.instr(x, ":") > 0) & (key(x) == k)), 0)
+    review = F.array_compact(F.array(*(F.trim(first(k)) for k in REVIEW_FIELDS)))
+    block = F.regexp_extract(F.coalesce(content, F.lit("")), r"^---\n(?:(?!---(?:\n|$))[^\n]*\n)*?themes:[^\S\n]*\n((?:[^\S\n]+-[^\S\n][^\n]*\n)+)", 1)
+    items = F.filter(F.split(block, "\n"), lambda x: x != "")
+    themes = F.when(block != "", F.concat(F.array(F.lit("themes:")), items)).otherwise(F.array().cast("array<string>"))
+    return F.struct(review.alias("review"), themes.alias("themes"))
+
+
+def with_preserved(notes: DataFrame, before: DataFrame) -> DataFrame:
+    """notes (rel_path, themes: array, ...) with review and theme_lines: fresh themes count, else those of the
+    version before (rel_path, content); review fields are always those of the version before."""
+    old = before.select("rel_path", preserved(F.col("content")).alias("__old"))
+    fresh = F.concat(F.array(F.lit("themes:")), F.transform("themes", lambda t: F.concat(F.lit("  - "), quoted(t))))
+    none = F.array().cast("array<string>")
+    joined = notes.join(old, "rel_path", "left")
+    return joined.withColumns({"review": F.coalesce("__old.review", none), "theme_lines": F.when(F.size("themes") > 0, fresh).otherwise(F.coalesce("__old.themes", none))}).drop("__old")
+
+
+def note_path(topic: Column, session: Column, category: Column) -> Column:
+    return F.concat(category, F.lit("s/"), note_slug(topic, session), F.lit(".md"))
+
+
+def render_note(notes: DataFrame) -> DataFrame:
+    """(category, rel_path, content) of notes (topic, category, project, session_id, date, confidence, theme_lines,
+    review, content, related: array of slug and topic): frontmatter with alias, themes and review fields, links to
+    project and category, the body without its own related section, and the given one."""
+    alias = kebab(F.col("topic"))
+    fields = F.concat(
+        F.array(F.lit("---"), F.concat(F.lit("topic: "), quoted(F.col("topic")))),
+        F.when(alias != "", F.array(F.lit("aliases:"), F.concat(F.lit('  - "'), alias, F.lit('"')))).otherwise(F.array().cast("array<string>")),
+        F.array(F.concat(F.lit("category: "), "category"), F.concat(F.lit("project: "), quoted(F.col("project"))), F.concat(F.lit("session_id: "), "session_id"), F.concat(F.lit("date: "), "date"), F.concat(F.lit("confidence: "), F.format_string("%.2f", "confidence"))),
+        F.col("theme_lines"), F.col("review"), F.array(F.lit("---"), F.lit("")),
+    )
+    links = F.concat(F.lit("Project: [["), kebab(F.col("project")), F.lit("]]\nCategory: [["), "category", F.lit("]]\n\n"))
+    related = F.when(F.size("related") > 0, F.concat(F.lit("\n\n## Related\n\n"), F.array_join(F.transform("related", lambda r: F.concat(F.lit("- [["), r["slug"], F.lit("|"), r["topic"], F.lit("]]"))), "\n"))).otherwise("")
+    text = F.concat(F.array_join(fields, "\n"), links, strip_related(F.col("content")), related, F.lit("\n"))
+    return notes.select("category", note_path(F.col("topic"), F.col("session_id"), F.col("category")).alias("rel_path"), text.alias("content"))
+
+
 def render(notes: DataFrame) -> DataFrame:
     """Notes as markdown with frontmatter: (category, rel_path, content)."""
     front = F.array_join(F.array(F.lit("---"), F.concat(F.lit('topic: "'), F.replace("topic", F.lit('"'), F.lit('\\"')), F.lit('"')), F.concat(F.lit("category: "), "category"), F.concat(F.lit("project: "), "project"), F.concat(F.lit("session_id: "), "session_id"), F.concat(F.lit("date: "), F.date_format("started_at", "yyyy-MM-dd")), F.concat(F.lit("confidence: "), F.format_string("%.2f", "confidence"))), "\n")
@@ -152,10 +205,6 @@ def render(notes: DataFrame) -> DataFrame:
     return notes.select("category", slug.alias("rel_path"), F.concat(front, seen, F.lit("\n---\n\n# "), "topic", F.lit("\n\n"), "content").alias("content"))
 
 
-def answer_body(content: Column) -> Column:
-    return body(content)
-
-
 def route_model(rows: DataFrame, fast: str | None, smart: str, threshold: int = 100_000) -> DataFrame:
     chosen = F.lit(smart) if fast is None else F.when((F.col("category") == "decision") | (F.col("tokens") > threshold), smart).otherwise(fast)
     return rows.withColumn("model", chosen)

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import render_tool_result
+from ..functions.text import render_tool_result, render_tool_use
 
+#: Fixed value: tools that name a file.
+FILE_TOOLS = ["Read", "Edit", "Write", "NotebookEdit", "MultiEdit"]
 LARGE_TOOLS = ["Bash", "Read", "Grep", "Glob"]
 LINES = {"moderate": 50, "aggressive": 20}
 
 
 def resolve_tools(blocks: DataFrame) -> DataFrame:
     """Results get the name of the latest earlier call with their id in their file, or else unknown."""
-    w = Window.partitionBy("path", "tool_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    place = ["line", "block"] if "block" in blocks.columns else ["line"]
+    w = Window.partitionBy("path", "tool_id").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.last(F.when(F.col("kind") == "tool_use", F.col("name")), ignorenulls=True).over(w)
     return blocks.withColumn("tool", F.when(F.col("kind") == "tool_use", F.coalesce("name", F.lit("unknown"))).otherwise(F.coalesce(earlier, F.lit("unknown"))))
 
@@ -42,6 +45,47 @@ def assemble(turns: DataFrame) -> DataFrame:
     return rows.select("session", "line_count", joined("assistant").alias("assistant_text"), joined("user").alias("user_text"), joined(None).alias("transcript"))
 
 
+def _cut(c: Column, n: int) -> Column:
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("\n…[truncated "), (F.length(c) - n).cast("string"), F.lit(" chars]"))).otherwise(c)
+
+
+def raw_summary(user: Column, assistant: Column, tool_calls: Column, files: Column) -> Column:
+    """What a session is classified by."""
+    return F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("# User messages\n"), _cut(user, 4000)), F.concat(F.lit("# Assistant messages\n"), _cut(assistant, 8000)),
+        F.concat(F.lit("# Tool calls: "), tool_calls.cast("string")),
+        F.concat(F.lit("# Files touched ("), F.size(files).cast("string"), F.lit("):\n"), F.array_join(F.slice(files, 1, 50), "\n")),
+    )
+
+
+def assembled(lines: DataFrame, blocks: DataFrame, mode: str | None = None) -> DataFrame:
+    """One row per transcript from its lines (path, line, ts) and blocks (path, line, block, role, kind, name, tool_id,
+    is_error, content, plain): session, project, started_at and ended_at (in order of lines), line_count, tool_calls,
+    files (in order of first use), assistant_text, user_text, transcript, raw_summary. ``plain`` messages are no part
+    of the transcript. With a ``mode``, long results of file and shell tools are bounded in it."""
+    seen = F.when(F.coalesce("ts", F.lit("")) != "", F.col("line"))
+    per = lines.groupBy("path").agg(F.count("*").alias("line_count"), F.min_by("ts", seen).alias("started_at"), F.max_by("ts", seen).alias("ended_at"))
+    rows = resolve_tools(blocks)
+    file = F.when((F.col("kind") == "tool_use") & F.col("name").isin(FILE_TOOLS), F.coalesce(F.get_json_object("content", "$.file_path"), F.get_json_object("content", "$.path")))
+    content = F.coalesce("content", F.lit(""))
+    result = render_tool_result(F.col("tool"), content, F.col("is_error"))
+    if mode:
+        result = bounded_results(rows.withColumn("content", content), mode)
+        rows, result = result, F.col("rendered")
+    shown = F.when(F.col("kind") == "text", F.when(~F.col("plain"), content)).when(F.col("kind") == "tool_use", render_tool_use(F.col("tool"), F.coalesce("content", F.lit("{}")))).when(F.col("kind") == "tool_result", result)
+    parts = F.array_sort(F.collect_list(F.struct("line", "block", "kind", "role", content.alias("content"), shown.alias("shown"), file.alias("file"))))
+    grouped = rows.groupBy("path").agg(F.count_if(F.col("kind") == "tool_use").alias("tool_calls"), parts.alias("parts"))
+
+    def said(role: str) -> Column:
+        return F.array_join(F.transform(F.filter("parts", lambda p: (p["kind"] == "text") & (p["role"] == role)), lambda p: p["content"]), "\n\n")
+
+    texts = grouped.select("path", "tool_calls", F.array_distinct(F.array_compact(F.transform("parts", lambda p: p["file"]))).alias("files"), said("assistant").alias("assistant_text"), said("user").alias("user_text"), F.array_join(F.array_compact(F.transform("parts", lambda p: p["shown"])), "\n\n").alias("transcript"))
+    empty = {"tool_calls": F.lit(0).cast("long"), "files": F.array().cast("array<string>"), "assistant_text": F.lit(""), "user_text": F.lit(""), "transcript": F.lit("")}
+    out = per.join(texts, "path", "left").withColumns({c: F.coalesce(c, v) for c, v in empty.items()})
+    return out.withColumns({"session": F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.jsonl$", ""), "project": F.element_at(F.split("path", "/"), -2), "raw_summary": raw_summary(F.col("user_text"), F.col("assistant_text"), F.col("tool_calls"), F.col("files"))})
+
+
 def first_last(records: DataFrame) -> DataFrame:
     """First and last time of each file in line order, not by time."""
     order = F.when(F.col("ts").isNotNull(), F.col("line"))

@@ -36,6 +36,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str, coalesced: list[str] = (),
     return joined.select(*map(value, old.columns))
 
 
+#: Columns of each layer that keep the old value where a new row has none.
+KEPT_IF_NULL = {"sessions": ["category", "topic", "project", "content"], "articles": ["category", "content", "note_path"], "pdfs": ["category", "content", "note_path"]}
+
+
+def put(layer: str, old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """``upsert`` by path under the layer's rule."""
+    return upsert(old, new, "path", coalesced=KEPT_IF_NULL[layer], order=order)
+
+
+def store_vectors(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, embedding, ...) with the vectors (key, embedding) put in; of several for a key the largest
+    counts, one without a row is left out. Null vectors change nothing."""
+    new = vectors.filter("embedding is not null").groupBy(F.col(key).alias("__key")).agg(F.max("embedding").alias("__new"))
+    return rows.join(new, F.col(key) == F.col("__key"), "left").withColumn("embedding", F.coalesce("__new", "embedding")).drop("__key", "__new")
+
+
 def publish(df: DataFrame, root: str, version: str, buckets: int = 16, key: str = "path") -> str:
     """Write a new version of a state table beside the old ones, split by a hash of the key."""
     path = f"{root}/version={version}"

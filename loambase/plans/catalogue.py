@@ -156,13 +156,6 @@ def usd_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.report(_priced(spark, sf_dir)).select("key", T.usd(F.round("usd", 6)).alias("label"))
 
 
-@query(f"""WITH {NOTES_SQL}, s AS (SELECT content AS text FROM notes WHERE doc_id % 3 = 0)
- SELECT count(*) AS sessions, round(sum(2 * ceil(length(text) / 3.0) / 1e6 * 0.28 + 4850 / 1e6 * 1.4), 6) AS usd FROM s""")
-def cost_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = state.unprocessed(_sources(spark, sf_dir), _seen(spark, sf_dir)).join(views.notes(spark, sf_dir).select("path", F.col("content").alias("text")), "path")
-    return cost.preview(rows, cost.prices(spark), cost.PRICES[2][1], "kie")
-
-
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.notes(spark, sf_dir).select("path", F.sha2("content", 256).alias("hash"), "doc_id")
 

@@ -25,9 +25,9 @@ def _texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def transcript_lines(spark: SparkSession, root: str) -> DataFrame:
+def transcript_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """path, line, text, event (variant; null if the line isn't JSON) of every line that isn't blank."""
-    files = _texts(spark, root, "*.jsonl")
+    files = _texts(spark, root, pattern)
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("line", "text")).filter(F.trim("text") != "")
     return lines.withColumn("event", F.try_parse_json("text"))
 
@@ -39,23 +39,25 @@ def session_of(path: Column) -> Column:
 
 
 def transcript_blocks(lines: DataFrame) -> DataFrame:
-    """path, line, block, ts, role, kind, name, tool_id, is_error, content of each content block. A message
-    that is plain text is one text block; events without a message give none."""
+    """path, line, block, ts, role, kind, name, tool_id, is_error, content, plain of each content block. A message
+    that is plain text is one text block (``plain``); events without a message are their own."""
     e = F.col("event")
     get = lambda v, p, kind="string": F.try_variant_get(v, p, kind)
-    whole = F.when(F.schema_of_variant(get(e, "$.message.content", "variant")) == "STRING", get(e, "$.message.content"))
+    held = F.coalesce(get(e, "$.message.content", "variant"), get(e, "$.content", "variant"))
+    whole = F.when(F.schema_of_variant(held) == "STRING", F.coalesce(get(e, "$.message.content"), get(e, "$.content")))
+    many = F.coalesce(get(e, "$.message.content", "array<variant>"), get(e, "$.content", "array<variant>"))
     rows = lines.select(
-        "path", "line", get(e, "$.timestamp").alias("ts"), F.coalesce(get(e, "$.message.role"), get(e, "$.type")).alias("role"), whole.alias("whole"),
-        F.posexplode_outer(F.when(whole.isNull(), get(e, "$.message.content", "array<variant>"))).alias("block", "part"),
+        "path", "line", get(e, "$.timestamp").alias("ts"), F.coalesce(get(e, "$.message.role"), get(e, "$.role")).alias("role"), whole.alias("whole"),
+        F.posexplode_outer(F.when(whole.isNull(), many)).alias("block", "part"),
     ).filter("whole is not null or part is not null")
     p = F.col("part")
-    inner = F.array_join(F.filter(F.transform(get(p, "$.content", "array<variant>"), lambda x: get(x, "$.text")), lambda t: t.isNotNull()), "\n")
+    inner = F.array_join(F.filter(F.transform(get(p, "$.content", "array<variant>"), lambda x: F.when((get(x, "$.type") == "text") & get(x, "$.text").isNotNull(), get(x, "$.text")).otherwise(F.concat(F.lit("["), get(x, "$.type"), F.lit("]")))), lambda t: t.isNotNull()), "\n")
     plain = F.when(F.schema_of_variant(get(p, "$.content", "variant")) == "STRING", get(p, "$.content"))
     return rows.select(
         "path", "line", F.coalesce("block", F.lit(0)).alias("block"), "ts", "role",
         F.coalesce(get(p, "$.type"), F.lit("text")).alias("kind"), get(p, "$.name").alias("name"),
         F.coalesce(get(p, "$.id"), get(p, "$.tool_use_id")).alias("tool_id"), F.coalesce(get(p, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
-        F.coalesce("whole", get(p, "$.text"), F.to_json(get(p, "$.input", "variant")), plain, inner).alias("content"),
+        F.coalesce("whole", get(p, "$.text"), F.to_json(get(p, "$.input", "variant")), plain, inner).alias("content"), F.col("whole").isNotNull().alias("plain"),
     )
 
 

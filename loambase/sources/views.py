@@ -101,3 +101,66 @@ def tool_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOOLS_SQL = """tools AS (SELECT '/s/' || user_id AS path, event_id AS line, json_extract_string(props, '$.k') AS tool_id, CASE WHEN event_id % 2 = 0 THEN 'tool_use' ELSE 'tool_result' END AS kind,
  CASE WHEN event_id % 2 = 0 THEN ['Bash', 'Read', 'Write', 'Skill'][CAST(event_id % 4 + 1 AS INT)] END AS name, event_type = 'error' AS is_error,
  array_to_string(list_transform(range(event_id % 70), lambda i: 'row ' || event_id), chr(10)) AS content FROM events)"""
+
+
+TOOL_NAMES = ["Read", "Bash", "Write", "Edit"]
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line, text, event: conversations as transcript lines. Assistants make up to three tool calls a turn,
+    users return the first one's result; every tenth conversation has broken lines, too."""
+    c, t, role, text = F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")
+    path = F.concat(F.lit("/proj/c"), (c % 5).cast("string"), F.lit("/"), c.cast("string"), F.lit(".jsonl"))
+    name = lambda k: F.element_at(F.array(*map(F.lit, TOOL_NAMES)), ((c + t + k) % 4 + 1).cast("int"))
+    file = lambda k: F.concat(F.lit("/src/f"), ((c + k) % 5).cast("string"), F.lit(".py"))
+    ident = lambda turn, k: F.concat(F.lit("u"), turn.cast("string"), F.lit("_"), k.cast("string"))
+    said = F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    call = lambda k: F.to_json(F.struct(F.lit("tool_use").alias("type"), ident(t, k).alias("id"), name(k).alias("name"), F.struct(F.when(name(k) != "Edit", file(k)).alias("file_path"), F.when(name(k) == "Edit", file(k)).alias("path")).alias("input")))
+    calls = F.when(c % 4 > 0, F.transform(F.sequence(F.lit(0).cast("long"), c % 4 - 1), call)).otherwise(F.array().cast("array<string>"))
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), ident(t - 1, F.lit(0)).alias("tool_use_id"), (t % 4 == 2).alias("is_error"), F.substring(text, 1, 40).alias("content")))
+    blocks = F.when(role == "assistant", F.concat(F.array(said), calls)).otherwise(F.array(result, said))
+    plain = (role == "system") | ((role == "user") & (t == 0))
+    whole = F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+    content = F.when(plain, whole).otherwise(F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]")))
+    stamp = F.when(t % 7 != 3, F.format_string('"timestamp":"2024-01-%02dT00:%02d:00Z",', c % 28 + 1, t.cast("long"))).otherwise("")
+    line = F.concat(F.lit("{"), stamp, F.lit('"type":"'), role, F.lit('","message":{"role":"'), role, F.lit('","content":'), content, F.lit("}}"))
+    rows = table(spark, sf_dir, "conversations")
+    broken = rows.filter("conv_id % 10 = 0").select(path.alias("path")).distinct().select("path", F.explode(F.sequence(F.lit(1001).cast("long"), F.lit(1060).cast("long"))).alias("line"), F.lit('{"broken').alias("text"))
+    return rows.select(path.alias("path"), t.cast("long").alias("line"), line.alias("text")).unionByName(broken).withColumn("event", F.try_parse_json("text"))
+
+
+TRANSCRIPTS_SQL = """c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text, '/proj/c' || conv_id % 5 || '/' || conv_id || '.jsonl' AS path, CASE WHEN turn % 7 <> 3 THEN printf('2024-01-%02dT00:%02d:00Z', conv_id % 28 + 1, turn) END AS ts FROM conversations),
+ calls AS (SELECT c.*, k, ['Read', 'Bash', 'Write', 'Edit'][CAST((conv_id + turn + k) % 4 + 1 AS INT)] AS tool, '/src/f' || (conv_id + k) % 5 || '.py' AS file FROM c, range(3) r(k) WHERE role = 'assistant' AND k < conv_id % 4),
+ blocks AS (SELECT path, turn AS line, CASE WHEN role = 'user' AND turn > 0 THEN 1 ELSE 0 END AS block, role, text AS said, CASE WHEN NOT (role = 'system' OR role = 'user' AND turn = 0) THEN text END AS shown, NULL AS file FROM c
+  UNION ALL SELECT c.path, c.turn, 0, c.role, NULL, '[tool_result: ' || coalesce(t.tool, 'unknown') || CASE WHEN c.turn % 4 = 2 THEN ' ERROR' ELSE '' END || ']' || chr(10) || left(c.text, 40) || chr(10) || '[/tool_result]', NULL FROM c LEFT JOIN calls t ON t.conv_id = c.conv_id AND t.turn = c.turn - 1 AND t.k = 0 WHERE c.role = 'user' AND c.turn > 0
+  UNION ALL SELECT path, turn, 1 + k, role, NULL, '[tool_use: ' || tool || '] {"' || CASE WHEN tool = 'Edit' THEN 'path' ELSE 'file_path' END || '":"' || file || '"}', CASE WHEN tool <> 'Bash' THEN file END FROM calls),
+ firsts AS (SELECT path, file, min(line * 100 + block) AS pos FROM blocks WHERE file IS NOT NULL GROUP BY 1, 2),
+ files AS (SELECT path, count(*) AS n_files, string_agg(file, chr(10) ORDER BY pos) AS files FROM firsts GROUP BY 1),
+ texts AS (SELECT path, coalesce(string_agg(said, chr(10) || chr(10) ORDER BY line, block) FILTER (role = 'assistant'), '') AS assistant_text, coalesce(string_agg(said, chr(10) || chr(10) ORDER BY line, block) FILTER (role = 'user'), '') AS user_text, coalesce(string_agg(shown, chr(10) || chr(10) ORDER BY line, block), '') AS transcript FROM blocks GROUP BY 1),
+ heads AS (SELECT path, min(conv_id) AS conv_id, count(*) + CASE WHEN min(conv_id) % 10 = 0 THEN 60 ELSE 0 END AS line_count, min_by(ts, turn) FILTER (ts IS NOT NULL) AS started_at, max_by(ts, turn) FILTER (ts IS NOT NULL) AS ended_at FROM c GROUP BY 1),
+ transcripts AS (SELECT h.*, (SELECT count(*) FROM calls k WHERE k.path = h.path) AS tool_calls, coalesce(n_files, 0) AS n_files, coalesce(files, '') AS files, assistant_text, user_text, transcript,
+  '# User messages' || chr(10) || CASE WHEN length(user_text) > 4000 THEN left(user_text, 4000) || chr(10) || '…[truncated ' || (length(user_text) - 4000) || ' chars]' ELSE user_text END || chr(10) || chr(10) || '# Assistant messages' || chr(10) || CASE WHEN length(assistant_text) > 8000 THEN left(assistant_text, 8000) || chr(10) || '…[truncated ' || (length(assistant_text) - 8000) || ' chars]' ELSE assistant_text END
+  || chr(10) || chr(10) || '# Tool calls: ' || (SELECT count(*) FROM calls k WHERE k.path = h.path) || chr(10) || chr(10) || '# Files touched (' || coalesce(n_files, 0) || '):' || chr(10) || coalesce(files, '') AS raw_summary FROM heads h JOIN texts USING (path) LEFT JOIN files USING (path))"""
+
+
+def pages_of_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, path, content, verified: documents as notes of all types, with frontmatter that lacks a field here and there."""
+    d = F.col("doc_id")
+    s = d.cast("string")
+    kind = F.element_at(F.array(*map(F.lit, ["article", "pdf", "topic", "session", "session", "session"])), (d % 6 + 1).cast("int"))
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (d % 4 + 1).cast("int"))
+    folder = F.when(kind == "session", F.concat(category, F.lit("s"))).otherwise(F.concat(kind, F.lit("s")))
+    field = lambda key, value, when=None: F.when(F.lit(True) if when is None else when, F.concat(F.lit(f"{key}: "), value))
+    fields = [
+        field("type", kind, kind != "session"), field("category", F.when(kind == "article", "concept").otherwise(category), (kind == "article") | (kind == "session") & (d % 5 != 0)),
+        field("project", F.concat(F.lit('"'), "source", F.lit('"')), (kind == "session") & (d % 7 != 0)), field("topic", F.concat(F.lit('"T'), (d % 50).cast("string"), F.lit('"')), kind == "session"),
+        field("title", F.concat(F.lit("P"), s), kind == "topic"), field("source_title", F.concat(F.lit("S: "), s), kind.isin("article", "pdf")), field("source_author", F.concat(F.lit("A"), (d % 7).cast("string")), kind == "article"), field("source_url", F.concat(F.lit("http://x/"), s), kind == "article"),
+        field("confidence", F.when(d % 17 == 0, "none").otherwise(F.format_string("%.2f", d * 37 % 101 / 100.0)), d % 19 != 0), field("date", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (d % 400).cast("int")), "yyyy-MM-dd"), d % 3 != 1), field("verified", F.lit("true"), d % 3 == 0),
+    ]
+    content = F.concat(F.lit("---\n"), F.array_join(F.array_compact(F.array(*fields)), "\n"), F.lit("\n---\n"), "text")
+    return table(spark, sf_dir, "documents").select(d.alias("doc"), F.concat(folder, F.lit("/"), s, F.lit(".md")).alias("path"), content.alias("content"), (d % 3 == 0).alias("verified"))
+
+
+PAGES_SQL = """kinds AS (SELECT doc_id AS d, text, source, ['article', 'pdf', 'topic', 'session', 'session', 'session'][CAST(doc_id % 6 + 1 AS INT)] AS kind, ['pattern', 'gotcha', 'decision', 'tool'][CAST(doc_id % 4 + 1 AS INT)] AS cat FROM documents),
+ vault AS (SELECT d AS doc, kind, cat, source, text, CASE WHEN kind = 'session' THEN cat ELSE kind END || 's/' || d || '.md' AS path, d % 3 = 0 AS verified, CASE WHEN d % 17 = 0 OR d % 19 = 0 THEN 0.0::DOUBLE ELSE (d * 37 % 101) / 100.0::DOUBLE END AS confidence,
+  CASE WHEN d % 3 <> 1 THEN strftime(DATE '2024-01-01' + CAST(d % 400 AS INT), '%Y-%m-%d') ELSE '' END AS date, CASE WHEN kind = 'session' AND d % 7 <> 0 THEN source END AS project, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) AS preview FROM kinds)"""

@@ -58,6 +58,14 @@ def inferred(requests: DataFrame, answer: Callable[[pd.Series], list], column: s
     return isolated(requests, answer, column, "reply", "string")
 
 
+def recorded(answered: DataFrame, stage: str, model: str, provider: str, column: str = "prompt") -> DataFrame:
+    """Answered requests with a ``cost`` record (stage, model, provider, tokens estimated from the texts); null for
+    those that failed."""
+    tokens = lambda c: F.ceil(F.length(c) / 4).cast("long")
+    record = F.struct(F.lit(stage).alias("stage"), F.lit(model).alias("model"), F.lit(provider).alias("provider"), tokens(column).alias("input_tokens"), tokens("reply").alias("output_tokens"), F.lit("estimated").alias("token_source"))
+    return answered.withColumn("cost", F.when(F.col("reply").isNotNull() & F.col("error").isNull(), record))
+
+
 def _version(spark: SparkSession, root: str, batch: int, schema) -> DataFrame:
     """The state before a batch: what the batch before it has published."""
     return spark.read.schema(schema).parquet(f"{root}/version={batch - 1}").drop("bucket") if batch else spark.createDataFrame([], schema)
