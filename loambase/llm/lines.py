@@ -29,14 +29,14 @@ from .store import materialize, small_batches
 from .text import U, mix, prefix_hash_of, span_hash
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-#: Further bands by which a large bucket is split, each for all of its members.
-SPLITS = 8
+#: Further bands by which a large bucket is split, and their minima: enough that lines of one template part.
+SPLITS, SPLIT_ROWS = 10, 6
 
 
 def _orders(n: int, seed: int = 0) -> list[tuple[np.uint32, np.uint32]]:
     """Multiplier and mask of each of n orders of shingles."""
     multipliers = (mix(np.arange(seed, seed + n, dtype=U)) >> U(32)).astype(np.uint32) | np.uint32(1)
-    return list(zip(multipliers, (mix(np.arange(seed + 100, seed + 100 + n, dtype=U)) >> U(32)).astype(np.uint32), strict=True))
+    return list(zip(multipliers, (mix(np.arange(seed + 5000, seed + 5000 + n, dtype=U)) >> U(32)).astype(np.uint32), strict=True))
 
 
 _ORDERS = _orders(BANDS * ROWS)
@@ -61,14 +61,14 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_hash_of(mix(points)), starts, np.minimum(starts + SHINGLE, np.repeat(ends, counts))), first
 
 
-def signatures(lines: list[str], orders: list[tuple[np.uint32, np.uint32]] = _ORDERS) -> tuple[np.ndarray, np.ndarray]:
-    """A row of band keys and one of minima for each of these non-empty lines."""
+def signatures(lines: list[str], orders: list[tuple[np.uint32, np.uint32]] = _ORDERS, n: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """A row of band keys (of ``n`` minima each) and one of minima for each of these non-empty lines."""
     hashes, first = shingle_hashes(lines)
     hashes = (hashes >> U(32)).astype(np.uint32)
     minima = np.stack([np.minimum.reduceat((hashes ^ s) * m, first) for m, s in orders], axis=1)
-    keys = np.zeros((len(lines), len(orders) // ROWS), U)
+    keys = np.zeros((len(lines), len(orders) // n), U)
     for i in range(len(orders)):
-        keys[:, i // ROWS] = mix(keys[:, i // ROWS] ^ minima[:, i])
+        keys[:, i // n] = mix(keys[:, i // n] ^ minima[:, i])
     return mix(keys ^ mix(np.arange(keys.shape[1], dtype=U))).view(np.int64), minima
 
 
@@ -168,13 +168,13 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 def _more_bands(n: int):
-    orders = _orders(BANDS * SPLITS * ROWS, 1000 * (n + 1))
+    orders = _orders(BANDS * SPLITS * SPLIT_ROWS, 10_000 * (n + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keys, _ = signatures(part.column(1).to_pylist(), orders)
+                keys, _ = signatures(part.column(1).to_pylist(), orders, SPLIT_ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "bands"])
 
     return run

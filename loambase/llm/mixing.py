@@ -73,6 +73,8 @@ def mix(docs: DataFrame, seed: int = 17, run_rows: int = 20_000, **how) -> DataF
 def materialised(docs: DataFrame, **how) -> DataFrame:
     """The mixture as rows of ``docs``: a document once per whole pass and once more where at least
     half of it lies within the rest of the budget; texts aren't cut."""
-    taken = mix(docs, **how).groupBy("doc_id").agg(F.max(F.col("epochs") + F.when((2 * F.col("part") >= F.col("size")) & (F.col("part") > 0), 1).otherwise(0)).alias("__times"))
-    joined = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return joined.filter("__times > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(*docs.columns)
+    times = F.max(F.col("epochs") + F.when((2 * F.col("part") >= F.col("size")) & (F.col("part") > 0), 1).otherwise(0)).cast("int")
+    taken = mix(docs, **how).groupBy("doc_id").agg(times.alias("times"))
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    joined = wide.join(taken, F.col("id").eqNullSafe(F.col("doc_id"))).filter("times > 0")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

@@ -97,14 +97,14 @@ def placed(docs: DataFrame, shards: int = 8, seed: int = 29) -> DataFrame:
     """All columns of ``docs`` with shard and slot. Rows that agree in doc_id and text are numbered by a hash of
     their other columns (but maps and variants), and each takes one of their places; texts move once, to
     their rows' places."""
-    slots = shard(docs, shards, seed)
-    nth = lambda order: F.row_number().over(Window.partitionBy("__id", "__crc").orderBy(*order))
-    places = slots.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").withColumn("__n", nth(["shard", "slot"]))
-    keyed = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__crc"))
     others = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant")) and f.name != "text"]
-    numbered = keyed.withColumn("__n", nth([F.xxhash64(*others)]))
-    joined = numbered.alias("d").join(places.alias("p"), F.col("d.__id").eqNullSafe(F.col("p.__id")) & (F.col("d.__crc") == F.col("p.__crc")) & (F.col("d.__n") == F.col("p.__n")))
-    return joined.select(*(F.col(f"d.`{c}`") for c in docs.columns), "p.shard", "p.slot")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("crc"), F.xxhash64(*others).alias("rest"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy("id", "crc").orderBy(*order)).alias("n")
+    numbered = keyed.select("row", "id", "crc", nth("rest"))
+    places = shard(docs, shards, seed).select(F.col("doc_id").alias("id"), F.col("text_crc32").alias("crc"), "shard", "slot").select("id", "crc", "shard", "slot", nth("shard", "slot"))
+    same = F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.crc") == F.col("p.crc")) & (F.col("d.n") == F.col("p.n"))
+    return numbered.alias("d").join(places.alias("p"), same).select("d.row.*", "p.shard", "p.slot")
 
 
 #: Blocks whose counts the driver holds at most (8 shards: some 100 MB); beyond, blocks grow.
