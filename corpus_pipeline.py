@@ -26,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group linked at 0.8 on five-word shingles."""
-    gone = neardup.near_duplicates(docs, words=5).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = neardup.near_duplicates(docs, words=5).filter("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
