@@ -85,10 +85,16 @@ def keep_sessions(files: DataFrame, distil: Callable[[DataFrame], DataFrame], sc
 
 
 def heal_backlog(rows: DataFrame, embed: Callable[[pd.Series], list], root: str, checkpoint: str) -> StreamingQuery:
-    """Each batch's rows (path, content) without a vector get one; rows that fail keep their error and stay in
-    the backlog. ``root`` holds one folder per batch, and a batch that is run again replaces its own."""
+    """Each batch's rows (path, content) without a vector get one; rows that fail keep their error and are tried
+    again with every later batch until they succeed or a newer row takes their place. ``root`` holds one folder
+    per batch, and a batch that is run again replaces its own."""
 
     def step(batch: DataFrame, number: int) -> None:
-        embedded(batch.filter("embedding is null and trim(content) <> ''"), embed).select("path", "embedding", "error").write.mode("overwrite").parquet(f"{root}/batch={number}")
+        todo = batch.filter("embedding is null and trim(content) <> ''").select("path", "content")
+        if number:
+            past = batch.sparkSession.read.schema("path string, content string, embedding array<double>, error string, batch int").parquet(root).filter(F.col("batch") < number)
+            last = past.groupBy("path").agg(F.max_by(F.struct("content", "error"), "batch").alias("r")).filter("r.error is not null")
+            todo = todo.unionByName(last.join(batch.select("path"), "path", "left_anti").select("path", "r.content"))
+        embedded(todo, embed).select("path", "content", "embedding", "error").write.mode("overwrite").parquet(f"{root}/batch={number}")
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

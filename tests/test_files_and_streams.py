@@ -157,3 +157,9 @@ def test_heal_backlog(spark, tmp_path):
     q.awaitTermination()
     assert q.exception() is None
     assert {r.path: (r.embedding, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": ([2.0], None), "b": (None, "ValueError: no")}
+    # The failed row is tried again with the next batch, and not once it has succeeded.
+    for n, new in enumerate((("e", "later", None), ("f", "last", None)), 1):
+        spark.createDataFrame([new], schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.heal_backlog(spark.readStream.schema(schema).parquet(src), lambda t: [[float(len(x))] for x in t], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        got = {r.path: r.error for r in spark.read.parquet(str(tmp_path / "out" / f"batch={n}")).collect()}
+        assert got == ({"e": None, "b": None} if n == 1 else {"f": None})
