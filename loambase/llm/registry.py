@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, lines, mixing, neardup, sharding, store, suffix, tokens, toxicity, warc
+from . import decontaminate, divergence, exact, lines, mixing, neardup, sharding, store, suffix, tokens, toxicity, vectors, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,22 @@ def op10_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_warc_reassembly, op3_token_rollups, op4_toxic_segments, op5_minhash_neardup, op6_source_mixing, op7_suffix_dedup, op8_decontamination, op9_chunk_recipes, op10_uniform_shards)}
+def op11_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fuzzy_lines, op2_warc_reassembly, op3_token_rollups, op4_toxic_segments, op5_minhash_neardup, op6_source_mixing, op7_suffix_dedup, op8_decontamination, op9_chunk_recipes, op10_uniform_shards, op11_vector_neardup, op12_source_divergence, op13_whitening)}
 
 ORACLES = {
+    "op12_source_divergence": divergence.ORACLE,
     "op9_chunk_recipes": """
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS norm, length(coalesce(text, '')) AS points FROM documents),
         r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS k, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
