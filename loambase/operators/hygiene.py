@@ -9,62 +9,34 @@ from pyspark.sql import functions as F
 
 from ..functions.text import kebab
 from ..sources.scratch import materialize
+from .pairs import Rule, top_pairs
 
 #: Fixed value: words that don't count as significant.
 STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "it", "this", "that", "to", "of", "in", "on", "and", "or", "for", "with", "as", "by"]
 
 
 def _prepared(notes: DataFrame) -> DataFrame:
-    """id, project (kebab), category, topic tokens with repeats, significant words of the first 100 characters."""
+    """id, block (project in kebab case, category), topic tokens with repeats, significant words of the first 100 characters."""
     tokens = F.filter(F.split(kebab(F.col("topic")), "-"), lambda t: F.length(t) >= 3)
     words = F.array_distinct(F.filter(F.split(F.lower(F.substring("content", 1, 100)), "\\W+"), lambda t: (F.length(t) >= 3) & ~t.isin(STOPWORDS)))
-    return notes.select("id", kebab(F.col("project")).alias("project"), "category", tokens.alias("tokens"), words.alias("words"))
+    return notes.select("id", F.concat(kebab(F.col("project")), F.lit("/"), "category").alias("block"), tokens.alias("tokens"), words.alias("words"))
 
 
-def _shared(rows: DataFrame, many: str, name: str) -> DataFrame:
-    """Pairs a < b with how often a's (or b's) elements of the column, repeats counted, are in the other's."""
-    side = rows.select(F.col("id"), F.explode("tokens" if many != "words" else "words").alias("t"))
-    a, b = side.select(F.col("id").alias("a"), "t"), side.select(F.col("id").alias("b"), "t")
-    if many == "a":
-        b = b.distinct()
-    elif many == "b":
-        a = a.distinct()
-    return a.join(b, "t").filter("a < b").groupBy("a", "b").agg(F.count("*").alias(name))
+#: What shared structure is worth.
+DUPLICATES = Rule(same=5.0, same_needs=2, alike=4.0, words=True, each=0.5, apart=0, step=0.5, alone=False, counted="a")
+CONTRADICTIONS = Rule(same=2.0, same_needs=0, alike=0.0, words=False, each=1.0, apart=2, step=1.0, alone=True, counted="b")
 
 
 def duplicate_pairs(notes: DataFrame, limit: int = 30) -> DataFrame:
     """(a, b, score): same project and category with two shared topic tokens, overlap of topics, three
-    shared significant words, and half a point per shared token. A score above zero needs a shared
-    token or three shared words, so only pairs that share one are made."""
-    rows = _prepared(notes)
-    pairs = _shared(rows, "a", "shared").join(_shared(rows, "words", "words").filter("words >= 3"), ["a", "b"], "full_outer").fillna(0)
-    one = rows.select(F.col("id").alias("a"), F.col("project").alias("pa"), F.col("category").alias("ca"), F.col("tokens").alias("ta"))
-    two = rows.select(F.col("id").alias("b"), F.col("project").alias("pb"), F.col("category").alias("cb"), F.col("tokens").alias("tb"))
-    joined = pairs.join(one, "a").join(two, "b")
-    union = F.size(F.array_union("ta", "tb"))
-    score = (
-        F.when((F.col("pa") == F.col("pb")) & (F.col("ca") == F.col("cb")) & (F.col("shared") >= 2), 5.0).otherwise(0.0)
-        + F.when(F.col("shared") / F.greatest(union, F.lit(1)) > 0.7, 4.0).otherwise(0.0)
-        + F.when(F.col("words") >= 3, F.least(F.lit(3), F.col("words") - 2)).otherwise(0)
-        + F.col("shared") * 0.5
-    )
-    return joined.select("a", "b", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "a", "b").limit(limit)
+    shared significant words, and half a point per shared token."""
+    return top_pairs(_prepared(notes), DUPLICATES, limit)
 
 
 def contradiction_pairs(notes: DataFrame, limit: int = 20) -> DataFrame:
     """(a, b, score): 2 for the same project and category plus the shared topic tokens, if those are two
-    or the block is the same. Of pairs that share nothing only those among a block's first members
-    can be in the top, so each block gives its first ``limit + 1`` members."""
-    rows = _prepared(notes)
-    shared = _shared(rows, "b", "shared")
-    first = rows.select("id", "project", "category", F.row_number().over(Window.partitionBy("project", "category").orderBy("id")).alias("n")).filter(F.col("n") <= limit + 1)
-    block = first.select(F.col("id").alias("a"), "project", "category").join(first.select(F.col("id").alias("b"), "project", "category"), ["project", "category"]).filter("a < b").select("a", "b")
-    pairs = shared.join(block, ["a", "b"], "full_outer").fillna(0)
-    one = rows.select(F.col("id").alias("a"), F.col("project").alias("pa"), F.col("category").alias("ca"))
-    two = rows.select(F.col("id").alias("b"), F.col("project").alias("pb"), F.col("category").alias("cb"))
-    same = (F.col("pa") == F.col("pb")) & (F.col("ca") == F.col("cb"))
-    scored = pairs.join(one, "a").join(two, "b").filter(same | (F.col("shared") >= 2))
-    return scored.select("a", "b", (F.when(same, 2).otherwise(0) + F.col("shared")).cast("long").alias("score")).orderBy(F.desc("score"), "a", "b").limit(limit)
+    or the block is the same."""
+    return top_pairs(_prepared(notes), CONTRADICTIONS, limit).withColumn("score", F.col("score").cast("long"))
 
 
 def links(notes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cost, hygiene, notes, periods, search, sessions, state
+from ..operators import cost, hygiene, knn, notes, periods, search, sessions, state
 from ..sources import views
 from ..sources.views import ARTICLES_SQL, COST_NOW, COST_SQL, NOTES_NOW, NOTES_SQL, TOOLS_SQL, table
 
@@ -443,22 +443,40 @@ def vector_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("query <> doc").withColumn("score", F.round("score", 6))
 
 
-@query("WITH s AS (SELECT q.vec_id AS query, c.vec_id AS doc, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s WHERE score >= 0.6 QUALIFY rank <= 5")
+_NEAR = """WITH e AS (SELECT vec_id AS doc, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT a.doc, list_transform(list_zip(a.v, b.v), lambda x: x[1] + 2 * x[2]) AS v FROM e a JOIN e b ON b.doc = a.doc - a.doc % 4),
+ s AS (SELECT q.doc AS query, c.doc AS doc, round(least(1.0, greatest(0.0, list_cosine_similarity(q.v, c.v))), 12) AS score FROM n q JOIN n c ON q.doc <> c.doc)"""
+
+
+@query(f"{_NEAR} SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s WHERE score >= 0.6 QUALIFY rank <= 5")
 def neighbour_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.vector_candidates(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), floor=0.6).filter("query <> doc")
-    from pyspark.sql import Window
+    """The nearest neighbours of every vector. Vectors of notes: each embedding plus twice that of the first of its four, so that
+    some are near."""
+    v = _vectors(spark, sf_dir)
+    firsts = v.select(F.col("doc").alias("first"), F.col("vector").alias("other"))
+    near = v.join(firsts, F.col("doc") - F.col("doc") % 4 == F.col("first")).select("doc", F.zip_with("vector", "other", lambda x, y: x + 2 * y).alias("vector"))
+    return knn.neighbours(near, 5, 0.6).withColumn("score", F.round("score", 6))
 
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).filter("rank <= 5").select("query", "doc", F.col("rank").cast("long"))
 
+def mmr_sql(pool: str, k: int = 8, relevance: float = 0.7) -> str:
+    """Tables ``picks`` (query, n, chosen) and ``mmr`` (query, layer, doc, score, rank) over ``pool`` (query, layer, doc, score, v)."""
+    return f"""pool AS ({pool}), sizes AS (SELECT query, count(*) AS size FROM pool GROUP BY 1),
+ picks AS (SELECT query, 1 AS n, [first({{'layer': layer, 'doc': doc, 'score': score, 'v': v}} ORDER BY score DESC, layer, doc)] AS chosen FROM pool JOIN sizes USING (query) WHERE size > {k} GROUP BY query UNION ALL
+  SELECT query, n + 1, list_append(chosen, pick) FROM (SELECT query, n, chosen, first({{'layer': layer, 'doc': doc, 'score': score, 'v': v}} ORDER BY {relevance} * score - {1 - relevance:.1f} * list_max(list_transform(chosen, lambda c: greatest(0.0, least(1.0, list_cosine_similarity(c.v, v))))) DESC, score DESC, layer, doc) AS pick
+   FROM picks JOIN pool USING (query) WHERE n < {k} AND NOT list_contains(list_transform(chosen, lambda c: c.layer || '/' || c.doc), layer || '/' || doc) GROUP BY query, n, chosen)),
+ mmr AS (SELECT query, chosen[n].layer AS layer, chosen[n].doc AS doc, floor(chosen[n].score * 10000 + 0.5) / 10000 AS score, CAST(n AS BIGINT) AS rank FROM picks
+  UNION ALL SELECT query, layer, doc, floor(score * 10000 + 0.5) / 10000, row_number() OVER (PARTITION BY query ORDER BY score DESC, layer, doc) FROM pool JOIN sizes USING (query) WHERE size <= {k})"""
 
-@query()
+
+_POOL_SQL = mmr_sql("SELECT q.vec_id AS query, '' AS layer, c.vec_id AS doc, least(1.0, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])) AS score, c.embedding::DOUBLE[] AS v FROM embeddings q JOIN embeddings c ON q.vec_id % 50 = 0 WHERE list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) >= 0.3")
+
+
+@query(f"WITH RECURSIVE {_POOL_SQL} SELECT query, doc, score, rank FROM mmr")
 def mmr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _vectors(spark, sf_dir)
-    found = search.vector_candidates(corpus, _vector_queries(spark, sf_dir))
-    return search.mmr(found.join(corpus, "doc"))
+    corpus = _vectors(spark, sf_dir).withColumn("bonus", F.lit(0.0))
+    return search.mmr(search.best_candidates(corpus, _vector_queries(spark, sf_dir), slack=search.mmr_slack(0.7)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_POOL_SQL}, {_TFIDF.removeprefix('WITH ')} SELECT query, doc, score, rank, 'embedding' AS method FROM mmr UNION ALL SELECT query, doc, score, rank, 'tfidf' FROM hits WHERE query NOT IN (SELECT query FROM mmr)")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid(mmr_search(spark, sf_dir), tfidf_search(spark, sf_dir).select("query", "doc", "score", "rank"))
 

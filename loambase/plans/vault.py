@@ -14,7 +14,7 @@ from ..sources import files, views
 from ..sources.scratch import scratch_path
 from ..sources.views import ARTICLES_SQL, NOTES_SQL, PAGES_SQL, TRANSCRIPTS_SQL, table
 from ..streaming import jobs
-from .catalogue import _DISTILLED, _PRICED, _TFIDF, ORACLES, QUERIES, _corpus, _k, _priced, _scrub_sql, _vectors, query
+from .catalogue import _DISTILLED, _PRICED, _TFIDF, ORACLES, QUERIES, _corpus, _k, _priced, _scrub_sql, _vectors, mmr_sql, query
 
 #: The form of ``session_assembly`` over plain turns stays registered.
 for _of in (QUERIES, ORACLES):
@@ -271,13 +271,23 @@ _POOL = """pool AS (SELECT 'notes' AS layer, vec_id AS doc, embedding::DOUBLE[]
  asked AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), scored AS (SELECT query, layer, doc, list_cosine_similarity(q, v) AS s, verified FROM asked, pool)"""
 
 
-@query(f"WITH {_POOL}, r AS (SELECT query, layer, doc, least(1.0, s) + CASE WHEN verified THEN 0.2 ELSE 0 END AS score FROM scored WHERE s >= 0.3), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, layer, doc) AS rank FROM r) SELECT query, layer, doc, floor(score * 10000 + 0.5) / 10000 AS score, rank FROM k WHERE rank <= 8")
-def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _note_layers(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Four layers of vectors, some without content, and one in fifty of them as queries."""
     e, doc = table(spark, sf_dir, "embeddings"), F.col("vec_id")
     layer = lambda rows, verified, content=F.lit("text"): rows.select(doc.alias("doc"), F.col("embedding").cast("array<double>").alias("vector"), content.alias("content"), verified.alias("verified"))
     layers = {"notes": layer(e, doc % 3 == 0, F.when(doc % 8 != 0, "text").otherwise(" ")), "articles": layer(e.filter("label % 4 = 0"), F.lit(False)), "pdfs": layer(e.filter("label % 4 = 1"), F.lit(False)), "topics": layer(e.filter("label % 4 = 2"), doc % 2 == 0)}
-    asked = e.filter("vec_id % 50 = 0").select(doc.alias("query"), F.col("embedding").cast("array<double>").alias("vector"))
-    return hits.best(hits.layered(layers, asked))
+    return layers, e.filter("vec_id % 50 = 0").select(doc.alias("query"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query(f"WITH {_POOL}, r AS (SELECT query, layer, doc, least(1.0, s) + CASE WHEN verified THEN 0.2 ELSE 0 END AS score FROM scored WHERE s >= 0.3), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, layer, doc) AS rank FROM r) SELECT query, layer, doc, floor(score * 10000 + 0.5) / 10000 AS score, rank FROM k WHERE rank <= 8")
+def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits.best(hits.layered(*_note_layers(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_POOL.replace('list_cosine_similarity(q, v) AS s, verified', 'list_cosine_similarity(q, v) AS s, verified, v')}, {mmr_sql('SELECT query, layer, doc, least(1.0, s) + CASE WHEN verified THEN 0.2 ELSE 0 END AS score, v FROM scored WHERE s >= 0.3').replace('pool AS', 'candidates AS').replace('FROM pool', 'FROM candidates').replace('JOIN pool', 'JOIN candidates')} SELECT query, layer, doc, score, rank FROM mmr")
+def diverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boosted search over four layers, re-ranked for diversity."""
+    return hits.diverse(*_note_layers(spark, sf_dir))
 
 
 @query("SELECT vec_id AS doc_id, sum(list_sum(list_transform(embedding, lambda x: 1))) OVER (PARTITION BY vec_id) > 0 AS done FROM embeddings")
