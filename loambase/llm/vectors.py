@@ -82,6 +82,12 @@ def _fitted(least: float, limit: int):
                 for c in np.unique(home):
                     mean = units[home == c].sum(axis=0)
                     centres[c] = mean / (np.linalg.norm(mean) or 1)
+            # Of centres in one group of near copies, which they would tear apart, the first stays.
+            close = np.tril(centres @ centres.T > 1 - 5 * (1 - least), -1)
+            alone = np.ones(k, bool)
+            for c in range(k):
+                alone[c] = not (close[c] & alone).any()
+            centres = centres[alone]
             dense = np.bincount((units @ centres.T).argmax(axis=1)).max() > 0.9 * len(units)
         return pa.table({"shard": [table.column("shard")[0].as_py()], "parts": pa.array([parts if dense else 0], pa.int64()), "centres": pa.array([[] if dense else centres.ravel().tolist()], pa.list_(pa.float64()))})
 
