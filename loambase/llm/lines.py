@@ -7,8 +7,7 @@ then line number) stays. Lines of white space only are never linked and all stay
 
 Equal lines are one node. Signatures are eight bands of three minima: a link at 0.8 shares a bucket
 with probability 0.997, at 0.9 with 0.99997. Lines are compared with the bucket's first, and then in
-rounds on the buckets that hold several components, until none is left (see ``rounds``), so no bucket is
-given up and work grows with the lines. Null text
+rounds on the buckets that hold several components (see ``rounds``), so no bucket is given up. Null text
 has one empty line. Rows that share a doc_id are taken as parts of one document, whose equal (doc_id,
 line number) pairs stay or go together; rows without a doc_id are left out.
 """
@@ -29,8 +28,6 @@ from .store import materialize, small_batches
 from .text import U, mix, prefix_hash_of, span_hash
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
-#: Further bands by which a large bucket is split, and their minima: enough that lines of one template part.
-SPLITS, SPLIT_ROWS = 10, 6
 
 
 def _orders(n: int, seed: int = 0) -> list[tuple[np.uint32, np.uint32]]:
@@ -167,35 +164,11 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])]
 
 
-def _more_bands(n: int):
-    orders = _orders(BANDS * SPLITS * SPLIT_ROWS, 10_000 * (n + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keys, _ = signatures(part.column(1).to_pylist(), orders, SPLIT_ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "bands"])
-
-    return run
-
-
 def _elements(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     hashes, first = shingle_hashes(table.column(3).to_pylist())
     return hashes, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
 
 
-def _split(items):
-    """Buckets of rows that agree in one of SPLITS further bands, others for each band and round."""
-
-    def run(rows: DataFrame, n: int) -> DataFrame:
-        bands = items(rows).select("node", "item").mapInArrow(_more_bands(n), "node long, bands array<long>")
-        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("bands", j * BANDS + F.col("at")))))
-        return rows.join(bands, "node").select(parts.alias("key"), "at", "node", "size").distinct()
-
-    return run
-
-
 def fuzzy_lines(docs: DataFrame, percent: int = 80, limit: int = LIMIT) -> DataFrame:
     """doc_id, line_no, keep_doc_id, keep_line_no, kept: one row per line."""
     small_batches(docs.sparkSession)
@@ -215,7 +188,7 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, limit: int = LIMIT) -> DataF
         found = items(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         return pairs.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(_confirm(percent), "a long, b long")
 
-    joined = linked(nodes, rows, Likeness(_agreeing, BANDS * ROWS, percent, sizes=False), confirm, items, _elements, _split(items), limit)
+    joined = linked(nodes, rows, Likeness(_agreeing, BANDS * ROWS, percent, sizes=False), confirm, items, _elements, limit)
     placed = materialize(joined.join(nodes.select("node", "key", "first"), "node").select("component", "key", "first"), "linked_lines")
     best = materialize(placed.groupBy("component").agg(F.min("first").alias("best")), "best_lines")
     # A line that occurs once and has no link keeps itself: only the others are looked up.

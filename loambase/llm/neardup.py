@@ -26,8 +26,6 @@ from .text import U, chunks, combine, mix, shingle_sets
 
 #: Bands of ROWS bins; the rest of the BINS serves the sketch alone.
 BINS, BANDS, ROWS = 128, 25, 5
-#: Further bands by which a large bucket is split, each for all of its members.
-SPLITS = 6
 _SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 
 
@@ -99,33 +97,6 @@ def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(words), _SIGNATURE)
 
 
-def _more_bands(words: int, n: int):
-    """SPLITS band keys for each band, of signatures that no earlier round has used."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix(np.arange(SPLITS, dtype=U) + U(1000 + n * SPLITS))
-        for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                bands = [[combine_rows(banded(densified(np.sort(mix(values ^ s))))) for s in seeds] if len(values) else None for values in shingle_sets(data, offsets, words)]
-                bands = [x if x is None else np.concatenate(x).view(np.int64) for x in bands]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
-
-    return run
-
-
-def _split(docs: DataFrame, words: int):
-    """Buckets of rows that agree in one of SPLITS further bands, others for each band and round, so that
-    a pair that one split parts meets again by another."""
-    texts = texts_of(docs, "node")
-
-    def run(rows: DataFrame, n: int) -> DataFrame:
-        bands = passing(texts, "node", key_filter(rows, "node")).mapInArrow(_more_bands(words, n), "node long, bands array<long>")
-        parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda j: F.xxhash64("key", j, F.get("bands", j * BANDS + F.col("at")))))
-        return rows.join(bands.filter("bands is not null"), "node").select(parts.alias("key"), "at", "node", "size").distinct()
-
-    return run
-
-
 def texts_of(docs: DataFrame, name: str) -> DataFrame:
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias(name), F.col("text").cast("string").alias("text"))
 
@@ -197,7 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, limit: i
     member of a bucket is compared with the bucket's smallest document. Buckets that then still hold
     several components are searched by sketches within a task; pairs that these leave open are compared
     on full sets, where there are many of them within the bucket's task. Buckets of over ``limit``
-    members are split by more bands, until none is left (see ``rounds``)."""
+    members are searched in tiles (see ``rounds``)."""
     small_batches(docs.sparkSession)
     signed = materialize(signatures(docs, words), "signatures")
     placed = materialize(classes(signed), "classes")
@@ -206,6 +177,6 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, limit: i
     reps = materialize(first.filter("not maybe").unionByName(first.filter("maybe").dropDuplicates(["node", "set_id"])).drop("maybe", "set_id"), "representatives")
     rows = reps.select(F.posexplode("bands").alias("at", "key"), "node", "size")
     items = lambda nodes: passing(texts_of(docs, "node"), "node", key_filter(nodes, "node")).mapInArrow(_sets(words), "node long, item binary")
-    found = linked(reps, rows, Likeness(_agreeing, BINS, percent), lambda edges: confirmed(docs, edges, words, percent), items, _elements, _split(docs, words), limit)
+    found = linked(reps, rows, Likeness(_agreeing, BINS, percent), lambda edges: confirmed(docs, edges, words, percent), items, _elements, limit)
     out = placed.select("doc_id", "n_shingles", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

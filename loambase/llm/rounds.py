@@ -1,13 +1,14 @@
 """Links between similar sets that share a signature bucket, in rounds.
 
-First each member of a bucket is compared with the bucket's smallest. Then come rounds on the buckets
-that still hold several components. A bucket is settled once all its members are in one component. A mixed bucket of at most ``LIMIT``
-members (and ``ELEMENTS`` set elements) is searched as a whole by one task, which reads it from rows in
-order of the bucket's key: by sketches, and where these leave more than ``DENSE`` pairs a member open, by
-the sets themselves, so that such pairs never leave the task. A larger one compares its members with two hubs, one of its largest component
-and one outside it; what is still mixed then is split by more of the signature, and the next round looks
-at the parts. So no task holds more than a bounded bucket, work grows with the rows, and no bucket is
-given up: the rounds go on until none is mixed.
+First each member of a bucket is compared with the bucket's smallest. A bucket is settled once all its members
+are in one component. A mixed bucket of at most ``LIMIT`` members (and ``ELEMENTS`` set elements) is searched as a
+whole by one task, which reads it from rows in order of the bucket's key: by sketches, and where these leave more
+than ``DENSE`` pairs a member open, by the sets themselves, so that such pairs never leave the task. A larger one
+compares its members with two hubs, one of its largest component and one outside it; what is still mixed then is
+searched in tiles: parts of its members against parts of them, a tile being no larger than a small bucket. Pairs
+of the largest component are left out, and buckets that hold nearly the same members are searched once, together. So
+no task holds more than a bounded bucket, every pair of a bucket is looked at, and a large bucket of n members that no
+hub settles makes some 2 * n * n / LIMIT rows.
 """
 
 from __future__ import annotations
@@ -128,6 +129,32 @@ def _stars(large: DataFrame) -> DataFrame:
     return stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
+def tiles(large: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """key, node, component: the members of mixed buckets (key, node, size, component), dealt to tiles of about
+    ``limit`` members so that any two members of different components meet."""
+    counts = large.groupBy("key").agg(F.count("*").alias("n"))
+    homes = large.join(counts, "key").groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("home"))
+    # A bucket joins the one that most of its members have as their largest, if that one stays as it is.
+    votes = large.join(homes, "node").groupBy("key", "home").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("n"), F.max(F.struct("k", "home")).alias("best"))
+    votes = materialize(votes.select("key", F.when(2 * F.col("best.k") >= F.col("n"), F.col("best.home")).otherwise(F.col("key")).alias("into")), "votes")
+    stays = votes.filter("key = into").select(F.col("key").alias("into"), F.lit(True).alias("stays"))
+    into = votes.join(stays, "into", "left").select("key", F.when(F.col("stays"), F.col("into")).otherwise(F.col("key")).alias("into"))
+    members = materialize(large.join(into, "key").select(F.col("into").alias("key"), "node", "size", "component").distinct(), "families")
+    each = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = lambda n, size: F.greatest(F.ceil(2 * n / limit), F.ceil(2 * size / F.lit(ELEMENTS))).cast("long")
+    best = F.col("best")
+    sized = each.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("best"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    sized = sized.select("key", best["component"].alias("top"), parts(best["n"], best["size"]).alias("tops"), parts(F.col("n") - best["n"], F.col("size") - best["size"]).alias("others"))
+    top = F.col("component") == F.col("top")
+    part = F.pmod(F.xxhash64("node"), F.when(top, F.col("tops")).otherwise(F.col("others")))
+    many = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    tile = lambda kind, x, y: F.xxhash64("key", F.lit(kind), x, y)
+    with_top = F.transform(many(F.col("others")), lambda i: tile("top", i, F.col("part")))
+    apart = F.concat(F.transform(many(F.col("others")), lambda i: tile("other", F.least(i, F.col("part")), F.greatest(i, F.col("part")))), F.transform(many(F.col("tops")), lambda i: tile("top", F.col("part"), i)))
+    placed = members.join(sized, "key").withColumn("part", part)
+    return materialize(placed.select(F.explode(F.when(top, with_top).otherwise(apart)).alias("key"), "node", "component"), "tiles")
+
+
 def merge(found: DataFrame, links: DataFrame) -> DataFrame:
     """``found`` (node, component) with components that ``links`` (a, b) connect joined: only components
     are joined anew, not their members. Nodes not in ``found`` are components of their own."""
@@ -147,14 +174,11 @@ def linked(
     confirm: Callable[[DataFrame], DataFrame],
     items: Callable[[DataFrame], DataFrame],
     sets_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    split: Callable[[DataFrame, int], DataFrame],
     limit: int = LIMIT,
-    rounds: int = 40,
 ) -> DataFrame:
-    """(node, component) of the nodes with a link, after rounds on the buckets ``rows`` (key, at, node, size) until
-    none is mixed. ``reps`` (node, size, sketch) has the nodes; ``confirm`` checks pairs (a, b) on full sets;
-    ``items`` gives (node, item) of nodes, from which ``sets_of`` (see ``verified``) takes the sets; ``split(rows, n)``
-    gives the rows of smaller buckets."""
+    """(node, component) of the nodes with a link, after rounds on the buckets ``rows`` (key, at, node, size).
+    ``reps`` (node, size, sketch) has the nodes; ``confirm`` checks pairs (a, b) on full sets; ``items`` gives
+    (node, item) of nodes, from which ``sets_of`` (see ``verified``) takes the sets."""
     rows = shared(rows)
     stars = rows.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialize(likely(stars, reps, like), "candidates")
@@ -168,21 +192,25 @@ def linked(
         whole = dense.join(items(dense), "node").select("key", "node", "component", "item").repartition("key").sortWithinPartitions("key", "node")
         return confirm(pairs).unionByName(whole.mapInArrow(verified(sets_of, like.percent), "a long, b long"))
 
-    for n in range(rounds):
-        live = mixed(rows, found, limit)
-        if live.isEmpty():
-            return found
-        large = live.filter("large")
-        links, some = search(live.filter("not large")), not large.isEmpty()
-        if some:
-            links = links.unionByName(confirm(materialize(likely(_stars(large), reps, like), "hub_pairs")))
-        links = materialize(links, "round_links")
-        if not links.isEmpty():
-            found = merge(found, links)
-        if not some:
-            return found
-        rows = split(mixed(large, found, limit), n)
-    raise RuntimeError(f"linked: buckets of over {limit} members after {rounds} rounds")
+    live = mixed(rows, found, limit)
+    if live.isEmpty():
+        return found
+    large = live.filter("large")
+    some = not large.isEmpty()
+    links = search(live.filter("not large"))
+    if some:
+        links = links.unionByName(confirm(materialize(likely(_stars(large), reps, like), "hub_pairs")))
+    found = _merged(found, links)
+    if some:
+        left = mixed(large, found, limit)
+        if not left.isEmpty():
+            found = _merged(found, search(tiles(left, limit)))
+    return found
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    links = materialize(links, "round_links")
+    return found if links.isEmpty() else merge(found, links)
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[tuple[np.ndarray, pa.Table]]:
