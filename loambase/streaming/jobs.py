@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import publish, unprocessed, upsert
+from ..operators.state import unprocessed, upsert
+from .state import Buckets, batches
 
 
 def weekly_cost(records: DataFrame, late: str = "2 days") -> DataFrame:
@@ -66,35 +67,34 @@ def recorded(answered: DataFrame, stage: str, model: str, provider: str, column:
     return answered.withColumn("cost", F.when(F.col("reply").isNotNull() & F.col("error").isNull(), record))
 
 
-def _version(spark: SparkSession, root: str, batch: int, schema) -> DataFrame:
-    """The state before a batch: what the batch before it has published."""
-    return spark.read.schema(schema).parquet(f"{root}/version={batch - 1}").drop("bucket") if batch else spark.createDataFrame([], schema)
+def keep_sessions(files: DataFrame, distil: Callable[[DataFrame], DataFrame], schema: str, root: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """New files (path, hash, ...) of a stream are distilled and put into the state by path (see ``state.Buckets``; of several
+    rows for a path within a batch the greatest hash counts). Only the buckets of a batch's paths are read and written. Files
+    whose path and hash are known are left out."""
+    state = Buckets(root, schema, count=buckets)
 
+    def put(old: DataFrame, batch: DataFrame) -> DataFrame:
+        rest = [c for c in batch.columns if c != "path"]
+        fresh = unprocessed(batch.groupBy("path").agg(F.max_by(F.struct(*rest), F.col("hash")).alias("r")).select("path", "r.*"), old)
+        return upsert(old, distil(fresh).select(*old.columns), "path")
 
-def keep_sessions(files: DataFrame, distil: Callable[[DataFrame], DataFrame], schema: str, root: str, checkpoint: str) -> StreamingQuery:
-    """New files (path, hash, ...) of a stream are distilled and put into the state by path. A batch
-    publishes the version of its number, so a batch that is run again writes the same once more. Files whose
-    path and hash are known are left out."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        old = _version(batch.sparkSession, root, number, schema)
-        fresh = unprocessed(batch.dropDuplicates(["path", "hash"]), old)
-        publish(upsert(old, distil(fresh).select(*old.columns), "path"), root, str(number))
-
-    return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(lambda batch, number: state.apply(batch, number, put)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def heal_backlog(rows: DataFrame, embed: Callable[[pd.Series], list], root: str, checkpoint: str) -> StreamingQuery:
     """Each batch's rows (path, content) without a vector get one; rows that fail keep their error and are tried
-    again with every later batch until they succeed or a newer row takes their place. ``root`` holds one folder
-    per batch, and a batch that is run again replaces its own."""
+    again with every later batch until they succeed or a newer row takes their place. ``root/batch=n`` holds what a batch
+    has tried, ``root/open/batch=n`` the failures that are open after it, which is all that later batches read. A batch
+    that is run again replaces its own."""
 
     def step(batch: DataFrame, number: int) -> None:
-        todo = batch.filter("embedding is null and trim(content) <> ''").select("path", "content")
-        if number:
-            past = batch.sparkSession.read.schema("path string, content string, embedding array<double>, error string, batch int").parquet(root).filter(F.col("batch") < number)
-            last = past.groupBy("path").agg(F.max_by(F.struct("content", "error"), "batch").alias("r")).filter("r.error is not null")
-            todo = todo.unionByName(last.join(batch.select("path"), "path", "left_anti").select("path", "r.content"))
+        spark, todo = batch.sparkSession, batch.filter("embedding is null and trim(content) <> ''").select("path", "content")
+        past = [n for n in batches(spark, f"{root}/open") if n < number]
+        if past:
+            last = spark.read.schema("path string, content string").parquet(f"{root}/open/batch={past[-1]}")
+            todo = todo.unionByName(last.join(batch.select("path"), "path", "left_anti"))
         embedded(todo, embed).select("path", "content", "embedding", "error").write.mode("overwrite").parquet(f"{root}/batch={number}")
+        tried = spark.read.schema("path string, content string, error string").parquet(f"{root}/batch={number}")
+        tried.filter("error is not null").select("path", "content").write.mode("overwrite").parquet(f"{root}/open/batch={number}")
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,11 +1,14 @@
 """File sources, replies, pages and streams on small fixtures."""
 
 import json
+import shutil
 
 from loambase.functions import replies
 from loambase.operators import pages
+from loambase.operators.state import upsert
 from loambase.sources import files
 from loambase.streaming import jobs
+from loambase.streaming.state import Buckets, batches
 from pyspark.sql import functions as F
 
 
@@ -124,7 +127,8 @@ def test_streams(spark, tmp_path):
     sweep()
     put(("b", "2", "new", "2026-01-20"), ("a", "1", "ignored", "2026-01-20"))
     sweep()
-    assert {r.path: r.content for r in spark.read.parquet(str(tmp_path / "state" / "version=1")).collect()} == {"a": "one", "b": "new"}
+    kept = Buckets(str(tmp_path / "state"), "path string, hash string, content string")
+    assert {r.path: r.content for r in kept.current(spark).collect()} == {"a": "one", "b": "new"}
     q = jobs.once_each(spark.readStream.schema(schema).parquet(src), "30 days").writeStream.format("memory").queryName("each").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("each").count() == 3
@@ -156,10 +160,35 @@ def test_heal_backlog(spark, tmp_path):
     q = jobs.heal_backlog(spark.readStream.schema(schema).parquet(src), embedder(), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert q.exception() is None
-    assert {r.path: (r.embedding, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": ([2.0], None), "b": (None, "ValueError: no")}
+    assert {r.path: (r.embedding, r.error) for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()} == {"a": ([2.0], None), "b": (None, "ValueError: no")}
     # The failed row is tried again with the next batch, and not once it has succeeded.
     for n, new in enumerate((("e", "later", None), ("f", "last", None)), 1):
         spark.createDataFrame([new], schema).coalesce(1).write.mode("append").parquet(src)
         jobs.heal_backlog(spark.readStream.schema(schema).parquet(src), lambda t: [[float(len(x))] for x in t], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+        assert batches(spark, str(tmp_path / "out" / "open")) == list(range(n + 1))
         got = {r.path: r.error for r in spark.read.parquet(str(tmp_path / "out" / f"batch={n}")).collect()}
         assert got == ({"e": None, "b": None} if n == 1 else {"f": None})
+
+
+def test_bucket_state(spark, tmp_path):
+    """A batch writes only the buckets of its keys; one that runs again, also after a crash before its commit, changes nothing."""
+    state = Buckets(str(tmp_path), "path string, hash string, n long", count=64)
+    rows = lambda n, *paths: spark.createDataFrame([(p, f"{p}{n}", n) for p in paths], "path string, hash string, n long")
+    put = lambda old, new: upsert(old, new, "path")
+    every = [f"p{i}" for i in range(400)]
+    state.apply(rows(0, *every), 0, put)
+    state.apply(rows(1, "p3", "p7", "q"), 1, put)
+    written = lambda n: {p.name for p in (tmp_path / "data" / f"batch={n}").glob("bucket=*")}
+    assert len(written(0)) > 50 and 1 <= len(written(1)) <= 3
+    want = {p: 1 if p in ("p3", "p7") else 0 for p in every} | {"q": 1}
+    assert {r.path: r.n for r in state.current(spark).collect()} == want
+    # Run again; then as if it had died before its commit; then with a gap in the numbers.
+    state.apply(rows(1, "p3", "p7", "q"), 1, put)
+    assert {r.path: r.n for r in state.current(spark).collect()} == want
+    shutil.rmtree(tmp_path / "commits" / "batch=1")
+    assert {r.path: r.n for r in state.current(spark).collect()} == dict.fromkeys(every, 0)
+    state.apply(rows(1, "p3", "p7", "q"), 1, put)
+    state.apply(rows(5, "q"), 5, lambda old, new: old.join(new.select("path"), "path", "left_anti"))
+    assert {r.path: r.n for r in state.current(spark).collect()} == {p: n for p, n in want.items() if p != "q"}
+    state.apply(rows(6), 6, put)
+    assert batches(spark, str(tmp_path / "commits")) == [0, 1, 5]
