@@ -123,13 +123,18 @@ def block_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select("scope", "slug", status.alias("status"))
 
 
-def recent(notes: DataFrame, now: str, since_days: int, category: str | None = None, verified: bool = False, limit: int = 20) -> DataFrame:
-    rows = distilled(notes).filter(F.col("started_at") >= F.timestamp_add("DAY", F.lit(-since_days), F.lit(now).cast("timestamp")))
-    if category:
-        rows = rows.filter(F.col("category") == category)
-    if verified:
-        rows = rows.filter("verified")
-    return rows.orderBy(F.desc_nulls_last("started_at"), "path").limit(limit).select("path", "category", F.date_format("started_at", "yyyy-MM-dd").alias("date"), preview(F.col("content")).alias("summary"))
+def recent(notes: DataFrame, now: str, since_days: int | None, category: str | None = None, verified: bool = False, limit: int = 20, project: str | None = None) -> DataFrame:
+    """The newest notes that pass the filters, 1 to 20 of them; undated ones pass without ``since_days`` only, and
+    come last."""
+    rows = distilled(notes)
+    for test in (
+        F.col("started_at") >= F.timestamp_add("DAY", F.lit(-since_days), F.lit(now).cast("timestamp")) if since_days is not None else None,
+        F.col("category") == category if category else None,
+        kebab(F.col("project")) == kebab(F.lit(project)) if project else None,
+        F.col("verified") if verified else None,
+    ):
+        rows = rows if test is None else rows.filter(test)
+    return rows.orderBy(F.desc_nulls_last("started_at"), "path").limit(min(max(limit, 1), 20)).select("path", "category", F.date_format("started_at", "yyyy-MM-dd").alias("date"), preview(F.col("content")).alias("summary"))
 
 
 def review_queue(notes: DataFrame, everything: bool = False, project: str | None = None, limit: int = 50) -> DataFrame:
@@ -145,6 +150,30 @@ def index_table(notes: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.select("kind", "path", "date", F.concat(F.lit("| "), "date", F.lit(" | "), "kind", F.lit(" | "), "topic", F.lit(" |")).alias("row")).orderBy(F.desc("date"), "path")
 
 
+def index_page(notes: DataFrame, articles: DataFrame, topics: DataFrame) -> DataFrame:
+    """(kind, rel_path, date, row): the index's rows for session notes, articles (title, author, category, note_path, published,
+    distilled_at) that have a note, and topic pages (id, title, updated_at, created_at), newest first. The place of a
+    session's note follows from its topic and id."""
+    day = lambda *c: F.substring(F.coalesce(*(F.col(x).cast("string") for x in c), F.lit("")), 1, 10)
+    one = distilled(notes).select(F.lit("session").alias("kind"), note_path(F.col("topic"), F.col("session_id"), F.col("category")).alias("rel_path"), day("started_at").alias("date"), "topic", "category", "project")
+    two = articles.filter(filled("note_path")).select(F.lit("article").alias("kind"), F.col("note_path").alias("rel_path"), day("published", "distilled_at").alias("date"), F.col("title").alias("topic"), "category", F.coalesce("author", F.lit("web")).alias("project"))
+    three = topics.select(F.lit("topic").alias("kind"), F.concat(F.lit("topics/"), "id", F.lit(".md")).alias("rel_path"), day("updated_at", "created_at").alias("date"), F.col("title").alias("topic"), F.lit("topic").alias("category"), F.lit("topics").alias("project"))
+    rows = one.unionByName(two).unionByName(three)
+    link = F.concat(F.lit("[["), F.regexp_replace("rel_path", "\\.md$", ""), F.lit("|"), "topic", F.lit("]]"))
+    text = F.concat(F.lit("| "), F.concat_ws(" | ", "date", "topic", "category", "project", link), F.lit(" |"))
+    return rows.select("kind", "rel_path", "date", text.alias("row")).orderBy(F.desc("date"), "rel_path")
+
+
+def run_summary(sources: DataFrame, state: DataFrame, results: DataFrame, least: float = 0.6) -> DataFrame:
+    """One row of what a run did: sources (path, hash) scanned, those already processed, and of the results (path, skipped, error,
+    confidence) of the others how many were filtered, failed, of low confidence, and distilled."""
+    known = state.select("path", "hash").distinct().withColumn("known", F.lit(True))
+    status = F.when(F.col("skipped"), "filtered").when(filled("error"), "errored").when(F.coalesce("confidence", F.lit(0.0)) <= least, "low").otherwise("distilled")
+    rows = sources.select("path", "hash").join(known, ["path", "hash"], "left").join(results.select("path", status.alias("status")), "path", "left")
+    fresh = F.col("known").isNull()
+    return rows.agg(F.count("*").alias("scanned"), F.count_if(~fresh).alias("already_processed"), *(F.count_if(fresh & (F.col("status") == k)).alias(name) for k, name in (("filtered", "skipped_by_filter"), ("distilled", "distilled"), ("low", "low_confidence"), ("errored", "errored"))))
+
+
 def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import body, kebab, preview, set_frontmatter
+from ..functions.text import body, kebab, preview, set_frontmatter, token_estimate
 from .notes import filled
 
 CHANGELOG = "## Changelog"
@@ -85,3 +85,30 @@ def bounded_skills(blocks: DataFrame) -> DataFrame:
     name = F.coalesce(*(F.get_json_object("__call", f"$.{k}") for k in ("skill", "command", "name")), F.lit("skill"))
     long = F.col("__call").isNotNull() & (F.col("kind") == "tool_result") & ~F.col("is_error") & (F.length("content") > SKILL_LIMIT)
     return rows.withColumn("loaded", F.when(long, F.concat(F.lit("[tool_result: Skill] [Skill "), name, F.lit(" loaded]")))).drop("__call")
+
+
+#: A skill's call with the result that directly follows it, in a rendered transcript; errors have another header.
+SKILL_PAIR = r"\[tool_use: Skill\] (.+)\n\n\[tool_result: Skill\]\n([\s\S]*?)\n\[/tool_result\]"
+
+
+def stripped_skills(text: Column) -> Column:
+    """Struct of text and stripped: a rendered transcript whose skill results of over ``SKILL_LIMIT`` characters are replaced by
+    the skill's name, and how many are. The text is taken apart at the pairs and put together again."""
+    found, between = F.regexp_extract_all(text, F.lit(SKILL_PAIR), F.lit(0)), F.split(text, SKILL_PAIR, -1)
+    call = lambda m: F.regexp_extract(m, SKILL_PAIR, 1)
+    long = lambda m: F.length(F.regexp_extract(m, SKILL_PAIR, 2)) > SKILL_LIMIT
+
+    def named(m: Column) -> Column:
+        value = F.try_parse_json(call(m))
+        fields = (F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in ("skill", "command", "name"))
+        return F.concat(F.lit("[tool_use: Skill] "), call(m), F.lit("\n\n[tool_result: Skill] [Skill "), F.coalesce(*fields, F.lit("skill")), F.lit(" loaded]"))
+
+    put = F.transform(found, lambda m: F.when(long(m), named(m)).otherwise(m))
+    whole = F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.struct(whole.alias("text"), F.size(F.filter(found, long)).cast("long").alias("stripped"))
+
+
+def savings(before: Column, after: Column) -> Column:
+    """Struct of the estimated tokens of a text before and after filtering, and those saved."""
+    one, two = token_estimate(before), token_estimate(after)
+    return F.struct(one.alias("original_tokens"), two.alias("filtered_tokens"), F.greatest(F.lit(0).cast("long"), one - two).alias("tokens_saved"))

@@ -29,6 +29,19 @@ def month_slug(ts: Column) -> Column:
     return F.date_format(ts, "'month-'yyyy-MM")
 
 
+def period_range(now: str, unit: str = "WEEK", offset: int = 0) -> tuple[Column, Column]:
+    """Start and end (not included) of the period ``offset`` before that of ``now``, as timestamps."""
+    start = F.timestamp_add(unit, F.lit(-offset), F.date_trunc(unit, F.lit(now).cast("timestamp")))
+    return start, F.timestamp_add(unit, F.lit(1), start)
+
+
+def period_label(start: Column, unit: str = "WEEK") -> Column:
+    """A period's name with its first and last day, from its start."""
+    last = F.date_sub(F.to_date(F.timestamp_add(unit, F.lit(1), start)), 1)
+    name = F.regexp_replace(week_slug(start) if unit == "WEEK" else month_slug(start), "^(week|month)-", "")
+    return F.concat(name, F.lit(" ("), F.date_format(start, "yyyy-MM-dd"), F.lit(" to "), F.date_format(last, "yyyy-MM-dd"), F.lit(")"))
+
+
 def in_period(notes: DataFrame, start: str, end: str) -> DataFrame:
     """start <= started_at < end; missing dates drop."""
     return notes.filter((F.col("started_at") >= F.lit(start).cast("timestamp")) & (F.col("started_at") < F.lit(end).cast("timestamp")))
