@@ -53,21 +53,18 @@ class Rule:
         return F.when(same | (shared >= self.apart), value).otherwise(0.0)
 
 
-def _ordered(rows: DataFrame, column: str) -> DataFrame:
-    """(id, column): each note's distinct elements, the rarest first."""
-    each = rows.select("id", F.explode(F.array_distinct(column)).alias("t"))
-    often = each.groupBy("t").agg(F.count("*").alias("df"))
-    return each.join(often, "t").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias(column))
-
-
 def featured(rows: DataFrame) -> DataFrame:
-    """rows (id, block, tokens with repeats, words) with ``rare`` and ``rare_words`` in order of rarity, and ``repeats``: a power of
-    two that no token's count exceeds."""
+    """rows (id, block, tokens with repeats, words) with ``rare`` and ``rare_words``, the distinct ones, the rarest first, and
+    ``repeats``: a power of two that no token's count exceeds."""
+    rows = materialize(rows, "rows")
+    kind = lambda c, k: F.transform(F.array_distinct(c), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("t")))
+    each = rows.select("id", F.explode(F.concat(kind("tokens", 0), kind("words", 1))).alias("x")).select("id", "x.kind", "x.t")
+    often = each.groupBy("kind", "t").agg(F.count("*").alias("df"))
+    found = each.join(often, ["kind", "t"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "t", "kind"))).alias("xs"))
+    of = lambda k: F.coalesce(F.transform(F.filter("xs", lambda x: x["kind"] == k), lambda x: x["t"]), F.array().cast("array<string>"))
     most = F.coalesce(F.array_max(F.transform(F.array_distinct("tokens"), lambda t: F.size(F.filter("tokens", lambda x: x == t)))), F.lit(1))
-    named = _ordered(rows, "tokens").withColumnRenamed("tokens", "rare").join(_ordered(rows, "words").withColumnRenamed("words", "rare_words"), "id", "full_outer")
-    out = rows.join(named, "id", "left").withColumn("repeats", F.pow(F.lit(2), F.ceil(F.log2(most))).cast("int"))
-    none = F.array().cast("array<string>")
-    return materialize(out.withColumns({"rare": F.coalesce("rare", none), "rare_words": F.coalesce("rare_words", none)}), "features")
+    out = rows.join(found, "id", "left").withColumns({"rare": of(0), "rare_words": of(1), "repeats": F.pow(F.lit(2), F.ceil(F.log2(most))).cast("int")})
+    return materialize(out.drop("xs"), "features")
 
 
 def scored(found: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
@@ -158,24 +155,23 @@ def _joined(posted: DataFrame, cut: int | None = None) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _cheapest(rows: DataFrame, rule: Rule, least: float, classes: list[int]) -> tuple[DataFrame, DataFrame, int]:
-    """The postings (with n, a list's length) of the cheaper way, and the pairs that its lists make."""
+def _cheapest(rows: DataFrame, rule: Rule, least: float, classes: list[int]) -> tuple[DataFrame, int]:
+    """The postings (with n, a list's length) of the way whose lists make fewer pairs, and how many they make."""
     best = None
     for way in ("tokens", "words") if rule.words else ("tokens",):
         posted = materialize(_postings(rows, rule, least, classes, way), "postings")
-        lists = materialize(posted.groupBy("key", "m").agg(F.count("*").alias("n"), F.count_if("own").alias("k")).filter("n > 1 and k > 0"), "lists")
+        lists = posted.groupBy("key", "m").agg(F.count("*").alias("n"), F.count_if("own").alias("k")).filter("n > 1 and k > 0")
         cost = int(lists.agg(F.coalesce(F.sum(F.col("n").cast("decimal(38,0)") * F.col("k")), F.lit(0))).first()[0])
         if best is None or cost < best[2]:
             best = posted, lists, cost
-    return best
+    posted, lists, cost = best
+    return posted.join(lists.drop("k"), ["key", "m"]), cost
 
 
-def _reach(rows: DataFrame, rule: Rule, least: float, classes: list[int]) -> DataFrame:
-    """All pairs with a score of ``least`` or more that share a token or word, scored."""
-    posted, lists, _ = _cheapest(rows, rule, least, classes)
-    posted = posted.join(lists.drop("k"), ["key", "m"])
+def _reach(posted: DataFrame, rows: DataFrame, rule: Rule, least: float) -> DataFrame:
+    """All pairs of the lists with a score of ``least`` or more, scored."""
     few, hot = _joined(posted.filter(F.col("n") <= HOT)), _tiled(posted.filter(F.col("n") > HOT), rows)
-    return scored(materialize(few.unionByName(hot).distinct(), "pairs"), rows, rule).filter(F.col("score") >= least)
+    return scored(few.unionByName(hot).distinct(), rows, rule).filter(F.col("score") >= least)
 
 
 def _alone(rows: DataFrame, k: int) -> DataFrame:
@@ -196,20 +192,22 @@ def top_pairs(rows: DataFrame, rule: Rule, k: int) -> DataFrame:
     if alone is not None:
         best = first(alone).collect()
         bound = max(bound, best[-1]["score"] if len(best) == k else 0.0)
-    found = _reach(rows, rule, bound + rule.step, classes)
+    least = bound if bound > 0 else rule.step
+    posted, cost = _cheapest(rows, rule, least, classes)
+    n = rows.count()
+    if cost <= EASY * n:
+        found = _reach(posted, rows, rule, least)
+        return first(found if alone is None else found.unionByName(alone.filter(F.col("score") >= least)).distinct())
+    # Too many pairs can reach the bound. Those above it come first; then ties with it, of the smallest ids.
+    found = _reach(_cheapest(rows, rule, bound + rule.step, classes)[0], rows, rule, bound + rule.step)
     found = materialize(first(found if alone is None else found.unionByName(alone.filter(F.col("score") > bound)).distinct()), "best")
-    have = found.filter(F.col("score") > bound).count()
-    if have >= k or bound <= 0:
-        return first(found)
-    # The rest are ties with the bound, those of the smallest ids.
-    level = F.col("score") == bound
-    tied = alone.filter(level) if alone is not None else None
-    posted, _, cost = _cheapest(rows, rule, bound, classes)
-    n, size = rows.count(), 64
-    while True:
-        cut = None if cost <= EASY * n or size >= n else rows.select("id").orderBy("id").limit(size).agg(F.max("id")).first()[0]
-        ties = _reach(rows, rule, bound, classes) if cut is None else scored(_joined(posted, cut).distinct(), rows, rule)
-        ties = materialize(first(ties.filter(level) if tied is None else ties.filter(level).unionByName(tied if cut is None else tied.filter(F.col("a") <= cut)).distinct()), "ties")
+    have, size, level = found.count(), 64, F.col("score") == bound
+    while bound > 0 and have < k:
+        cut = None if size >= n else rows.select("id").orderBy("id").limit(size).agg(F.max("id")).first()[0]
+        ties = _reach(posted, rows, rule, bound) if cut is None else scored(_joined(posted, cut).distinct(), rows, rule)
+        tied = None if alone is None else alone.filter(level) if cut is None else alone.filter(level & (F.col("a") <= cut))
+        ties = materialize(first(ties.filter(level) if tied is None else ties.filter(level).unionByName(tied).distinct()), "ties")
         if cut is None or ties.count() >= k - have:
             return first(found.unionByName(ties))
         size *= 8
+    return first(found)
