@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import notes
+from ..operators import index, notes
 from ..sources import files, views
 from ..sources.notes_sink import write_note_files
 from ..sources.scratch import scratch_path
 from ..sources.views import ARTICLES_SQL, COST_SQL, NOTES_SQL, table
 from ..streaming import jobs
 from ..streaming.state import Buckets
-from .catalogue import _DISTILLED, _TFIDF, query, tfidf_search
+from .catalogue import _DISTILLED, _TFIDF, _corpus, query, tfidf_search
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
@@ -158,3 +158,15 @@ def backlog_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
     tried = reduce(DataFrame.unionByName, (spark.read.schema("path string, error string").parquet(f"{root}/batch={n}").withColumn("batch", F.lit(n)) for n in (0, 1)))
     last = tried.groupBy("path").agg(F.max_by(F.struct("error", "batch"), "batch").alias("r"))
     return last.select(F.col("path").cast("long").alias("doc_id"), F.col("r.error").isNull().alias("healed"), F.col("r.batch").alias("batch"))
+
+
+@query(f"{_TFIDF} SELECT query, doc, score, rank FROM hits")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of a stored index that three batches have built: other texts at first for a third of the documents, then their
+    own; documents that aren't there any more."""
+    root, docs = scratch_path(spark, "index"), _corpus(spark, sf_dir)
+    other = docs.select("doc", F.when(F.col("doc") % 3 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"), "verified")
+    extra = docs.select((-1 - F.col("doc")).alias("doc"), "text", "verified")
+    index.add(other.unionByName(extra), root, 0)
+    index.add(docs.filter("doc % 3 = 0"), root, 1, extra)
+    return index.search(spark, root, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"))
