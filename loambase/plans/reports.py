@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import replies
-from ..operators import notes, pages, periods
-from ..sources import views
-from ..sources.views import NOTES_NOW, NOTES_SQL, table
+from ..operators import notes, pages, periods, sessions
+from ..sources import files, views
+from ..sources.views import NOTES_NOW, NOTES_SQL, TRANSCRIPTS_SQL, table
 from .catalogue import _DISTILLED, _k, query
 
 _STATUS = "CASE WHEN skipped THEN 'filtered' WHEN error IS NOT NULL THEN 'errored' WHEN confidence <= 0.6 THEN 'low' ELSE 'distilled' END"
@@ -84,3 +84,24 @@ def skill_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("before\n\n[tool_use: Skill] "), call, F.lit("\n\n[tool_result: Skill"), F.when(d % 5 == 0, " ERROR").otherwise(""), F.lit("]\n"), "text", F.lit("\n[/tool_result]\n\nafter"))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("a")).withColumn("s", pages.stripped_skills(F.col("a")))
     return rows.select("doc_id", F.md5("s.text").alias("text"), F.col("s.stripped").alias("stripped"), pages.savings(F.col("a"), F.col("s.text")).alias("t")).select("doc_id", "text", "stripped", "t.*")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = views.transcripts(spark, sf_dir)
+    return lines.withColumn("ts", F.try_variant_get("event", "$.timestamp", "string"))
+
+
+@query(f"""WITH {TRANSCRIPTS_SQL} SELECT path, line // 3 AS part, md5(string_agg(said, chr(10) || chr(10) ORDER BY line, block) FILTER (role = 'assistant')) AS assistant_text, md5(string_agg(said, chr(10) || chr(10) ORDER BY line, block) FILTER (role = 'user')) AS user_text, md5(string_agg(shown, chr(10) || chr(10) ORDER BY line, block)) AS transcript FROM blocks GROUP BY 1, 2""")
+def transcript_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts in pieces of three lines; a result's call stands in the piece before it."""
+    lines = _lines(spark, sf_dir)
+    pieces = sessions.parts(files.transcript_blocks(lines), 3)
+    return pieces.withColumns({c: F.md5(c) for c in ("assistant_text", "user_text", "transcript")})
+
+
+@query(f"""WITH {TRANSCRIPTS_SQL} SELECT path, CAST(conv_id AS VARCHAR) AS session, 'c' || conv_id % 5 AS project, started_at, ended_at, line_count, tool_calls, n_files, md5(raw_summary) AS raw_summary FROM transcripts""")
+def session_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each session without its whole texts."""
+    lines = _lines(spark, sf_dir)
+    blocks = files.transcript_blocks(lines)
+    return sessions.heads(lines, blocks, sessions.parts(blocks, 3)).withColumn("raw_summary", F.md5("raw_summary"))
