@@ -85,14 +85,29 @@ def settled(decisions: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else open_
 
 
+def judged(notes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(rank, winner, loser, keep) of decisions (rank, a, b, keep) that count: keep A or B tells the winner, merge the more
+    confident, A on ties."""
+    conf = notes.select("id", "confidence")
+    one, two = conf.toDF("a", "ca"), conf.toDF("b", "cb")
+    told = decisions.filter("a <> b").join(one, "a").join(two, "b").withColumn("b_wins", (F.col("keep") == "B") | ((F.col("keep") == "merge") & (F.col("cb") > F.col("ca"))))
+    named = materialize(told.select("rank", F.when(F.col("b_wins"), F.col("b")).otherwise(F.col("a")).alias("winner"), F.when(F.col("b_wins"), F.col("a")).otherwise(F.col("b")).alias("loser"), "keep"), "judged")
+    return settled(named).join(named, ["rank", "winner", "loser"]).distinct()
+
+
+def with_merged(notes: DataFrame, counted: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Notes (id, content, ...) with the body that a merge has given them: of the counted decisions (see ``judged``) to merge, a winner
+    takes the body (winner, loser, body) of its last one that has any. Blank bodies change nothing."""
+    held = bodies.filter(F.trim(F.coalesce("body", F.lit(""))) != "")
+    last = counted.filter("keep = 'merge'").join(held, ["winner", "loser"]).groupBy(F.col("winner").alias("id")).agg(F.max_by("body", F.struct("rank", "loser")).alias("__body"))
+    return notes.join(last, "id", "left").withColumn("content", F.coalesce("__body", "content")).drop("__body")
+
+
 def apply_decisions(notes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Notes (id, confidence, archived) after decisions (rank, a, b, keep): keep A or B archives the
     other; merge keeps the more confident, A on ties. A decision counts only if neither side lost
     in one of smaller rank that counts. Winners list whom they beat."""
-    conf = notes.select("id", "confidence")
-    one, two = conf.toDF("a", "ca"), conf.toDF("b", "cb")
-    told = decisions.filter("a <> b").join(one, "a").join(two, "b").withColumn("b_wins", (F.col("keep") == "B") | ((F.col("keep") == "merge") & (F.col("cb") > F.col("ca"))))
-    done = settled(told.select("rank", F.when(F.col("b_wins"), F.col("b")).otherwise(F.col("a")).alias("winner"), F.when(F.col("b_wins"), F.col("a")).otherwise(F.col("b")).alias("loser")))
+    done = judged(notes, decisions)
     beaten = done.groupBy(F.col("winner").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("loser").cast("string"))), ",").alias("beat"))
     losers = done.select(F.col("loser").alias("id"), F.lit(True).alias("lost")).distinct()
     out = notes.join(losers, "id", "left").join(beaten, "id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import cost, hygiene, knn, notes, periods, search, sessions, state
 from ..sources import views
+from ..sources.scratch import materialize
 from ..sources.views import ARTICLES_SQL, COST_NOW, COST_SQL, NOTES_NOW, NOTES_SQL, TOOLS_SQL, table
 
 QUERIES: dict = {}
@@ -390,15 +391,36 @@ def stale_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hygiene.stale(_hygiene(spark, sf_dir), NOTES_NOW)
 
 
-@query()
-def apply_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+_JUDGED = ORACLES["duplicate_pairs"].replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT a, b, CAST(score AS DOUBLE) AS score FROM s", ", dup AS (SELECT a, b, CAST(score AS DOUBLE) AS score FROM s") + """),
+ told AS (SELECT row_number() OVER (ORDER BY score DESC, a, b) AS n, a, b, ['A', 'B', 'merge'][CAST(a % 3 + 1 AS INT)] AS keep, x.confidence AS ca, y.confidence AS cb FROM dup JOIN distilled x ON x.doc_id = a JOIN distilled y ON y.doc_id = b),
+ won AS (SELECT n, keep, CASE WHEN keep = 'B' OR keep = 'merge' AND cb > ca THEN b ELSE a END AS winner, CASE WHEN keep = 'B' OR keep = 'merge' AND cb > ca THEN a ELSE b END AS loser FROM told),
+ walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS lost, []::BIGINT[] AS counted UNION ALL SELECT w.n, CASE WHEN list_contains(lost, winner) OR list_contains(lost, loser) THEN lost ELSE list_append(lost, loser) END, CASE WHEN list_contains(lost, winner) OR list_contains(lost, loser) THEN counted ELSE list_append(counted, w.n) END FROM walk JOIN won w ON w.n = walk.n + 1),
+ judged AS (SELECT * FROM won WHERE list_contains((SELECT counted FROM walk ORDER BY n DESC LIMIT 1), n))"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Notes, and decisions on their duplicate pairs: every third to keep the one, the other, or both as one."""
     n = _hygiene(spark, sf_dir)
-    pairs = hygiene.duplicate_pairs(n)
     keep = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("merge")), (F.col("a") % 3 + 1).cast("int"))
-    told = pairs.withColumn("rank", F.format_string("%012.3f", 1e6 - F.col("score"))).select(F.concat("rank", F.format_string("-%012d-%012d", "a", "b")).alias("rank"), "a", "b", keep.alias("keep"))
+    told = hygiene.duplicate_pairs(n).withColumn("rank", F.format_string("%012.3f", 1e6 - F.col("score")))
+    return n, materialize(told.select(F.concat("rank", F.format_string("-%012d-%012d", "a", "b")).alias("rank"), "a", "b", keep.alias("keep")), "decisions")
+
+
+@query(f"{_JUDGED} SELECT doc_id AS id, confidence, doc_id IN (SELECT loser FROM judged) OR archived AS archived, coalesce((SELECT string_agg(DISTINCT CAST(loser AS VARCHAR), ',' ORDER BY CAST(loser AS VARCHAR)) FROM judged WHERE winner = doc_id), '') AS beat FROM distilled")
+def apply_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, told = _decided(spark, sf_dir)
     return hygiene.apply_decisions(n.select("id", "confidence", "archived"), told)
 
 
+@query(f"{_JUDGED} SELECT doc_id AS id, md5(coalesce((SELECT max_by('merged ' || winner || '+' || loser, n) FROM judged WHERE winner = doc_id AND keep = 'merge' AND loser % 5 <> 0), content)) AS content FROM distilled")
+def merged_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winners take the merged body, where the model gave one."""
+    n, told = _decided(spark, sf_dir)
+    counted = hygiene.judged(n, told)
+    body = F.when(F.col("loser") % 5 != 0, F.concat(F.lit("merged "), F.col("winner").cast("string"), F.lit("+"), F.col("loser").cast("string"))).otherwise(" ")
+    return hygiene.with_merged(n.select("id", "content"), counted, counted.select("winner", "loser", body.alias("body"))).withColumn("content", F.md5("content"))
+
+
 @query("WITH t AS (SELECT doc_id, unnest(" + _TOKENS.format("text") + ") AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM p GROUP BY 1")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     posted = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
