@@ -5,8 +5,9 @@ prefixes of 4 to 8 characters and the whole word, where each level's prior is th
 the root is even. A linear scan finds all maximal segments of a document's log-odds, less a
 constant that makes their mean negative. The best segments of clean documents follow an
 extreme-value law; with its parameters a segment's score becomes an expected count E in a document
-of that length. A document's evidence is the sum of -ln E over its segments with E < 1, and a
-logistic curve fitted to labelled documents turns it into a score.
+of that length. A document's evidence is the sum of -ln E over its segments with E < 1 and a score of
+``LEAST_SEGMENT`` or more (others are left out), and a logistic curve fitted to labelled documents turns
+it into a score.
 
 Counts are of documents per feature in a table of ``BUCKETS`` hash buckets, so that the model has
 one size on any corpus. They are learned on at most ``most_labels`` labelled rows, chosen by a hash of
