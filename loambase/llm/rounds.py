@@ -5,10 +5,10 @@ are in one component. A mixed bucket of at most ``LIMIT`` members (and ``ELEMENT
 whole by one task, which reads it from rows in order of the bucket's key: by sketches, and where these leave more
 than ``DENSE`` pairs a member open, by the sets themselves, so that such pairs never leave the task. A larger one
 compares its members with two hubs, one of its largest component and one outside it; what is still mixed then is
-searched in tiles: parts of its members against parts of them, a tile being no larger than a small bucket. Pairs
+searched in tiles: parts of its members, each no larger than a small bucket, against parts of them. Pairs
 of the largest component are left out, and buckets that hold nearly the same members are searched once, together. So
-no task holds more than a bounded bucket, every pair of a bucket is looked at, and a large bucket of n members that no
-hub settles makes some 2 * n * n / LIMIT rows.
+no task holds more than two bounded parts, every pair of a bucket is looked at, and a large bucket of n members that no
+hub settles makes some n * n / LIMIT rows.
 """
 
 from __future__ import annotations
@@ -130,8 +130,8 @@ def _stars(large: DataFrame) -> DataFrame:
 
 
 def tiles(large: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """key, node, component: the members of mixed buckets (key, node, size, component), dealt to tiles of about
-    ``limit`` members so that any two members of different components meet."""
+    """key, node, component: the members of mixed buckets (key, node, size, component), dealt to parts of about
+    ``limit`` members, and those to tiles of two parts, so that any two members of different components meet."""
     counts = large.groupBy("key").agg(F.count("*").alias("n"))
     homes = large.join(counts, "key").groupBy("node").agg(F.max(F.struct("n", "key"))["key"].alias("home"))
     # A bucket joins the one that most of its members have as their largest, if that one stays as it is.
@@ -141,7 +141,7 @@ def tiles(large: DataFrame, limit: int = LIMIT) -> DataFrame:
     into = votes.join(stays, "into", "left").select("key", F.when(F.col("stays"), F.col("into")).otherwise(F.col("key")).alias("into"))
     members = materialize(large.join(into, "key").select(F.col("into").alias("key"), "node", "size", "component").distinct(), "families")
     each = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    parts = lambda n, size: F.greatest(F.ceil(2 * n / limit), F.ceil(2 * size / F.lit(ELEMENTS))).cast("long")
+    parts = lambda n, size: F.greatest(F.ceil(n / limit), F.ceil(size / F.lit(ELEMENTS))).cast("long")
     best = F.col("best")
     sized = each.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("best"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     sized = sized.select("key", best["component"].alias("top"), parts(best["n"], best["size"]).alias("tops"), parts(F.col("n") - best["n"], F.col("size") - best["size"]).alias("others"))
