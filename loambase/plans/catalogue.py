@@ -188,12 +188,12 @@ def session_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.upsert(old, twice, "path", coalesced=["topic", "category"], order="n")
 
 
-@query("""WITH o AS (SELECT item_id AS id, 'a' AS content, 1 AS created FROM benchmark WHERE item_id % 2 = 0), n AS (SELECT item_id AS id, text AS content, 2 AS created FROM benchmark WHERE item_id % 3 = 0)
+@query("""WITH o AS (SELECT item_id AS id, 'a' AS content, 1 AS created FROM benchmark WHERE item_id % 2 = 0), n AS (SELECT item_id AS id, text AS content, 2 AS created FROM benchmark WHERE item_id % 3 = 0 OR item_id % 2 = 1)
  SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.content ELSE o.content END AS content, coalesce(o.created, n.created) AS created FROM o FULL JOIN n ON o.id = n.id""")
 def topic_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     old = b.filter("item_id % 2 = 0").select(F.col("item_id").alias("id"), F.lit("a").alias("content"), F.lit(1).alias("created"))
-    new = b.filter("item_id % 3 = 0").select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.lit(2).alias("created"))
+    new = b.filter("item_id % 3 = 0 or item_id % 2 = 1").select(F.col("item_id").alias("id"), F.col("text").alias("content"), F.lit(2).alias("created"))
     return state.upsert(old, new, "id", kept=["created"])
 
 

@@ -290,11 +290,12 @@ def diverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.diverse(*_note_layers(spark, sf_dir))
 
 
-@query("SELECT vec_id AS doc_id, sum(list_sum(list_transform(embedding, lambda x: 1))) OVER (PARTITION BY vec_id) > 0 AS done FROM embeddings")
+@query("SELECT doc_id, trim(text, E' \\t\\n\\r') <> '' AS done, CASE WHEN trim(text, E' \\t\\n\\r') <> '' THEN length(text) END AS length FROM documents")
 def embed_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The user's function gives each text of the backlog a vector of its length."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("vec_id").cast("string").alias("content"))
-    return jobs.embedded(rows, lambda texts: [[float(len(t))] for t in texts]).select("doc_id", (F.col("embedding").isNotNull() & F.col("error").isNull()).alias("done"))
+    """The user's function gives each text of the backlog a vector of its length; blank texts get none."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    done = jobs.embedded(rows, lambda texts: [[float(len(t))] for t in texts])
+    return done.select("doc_id", (F.col("embedding").isNotNull() & F.col("error").isNull()).alias("done"), F.get("embedding", 0).cast("long").alias("length"))
 
 
 @query(f"""WITH {NOTES_SQL}, {_DISTILLED} SELECT doc_id, CASE WHEN length(content) % 2 = 0 THEN 'tool' ELSE 'gotcha' END AS category, 'distill' AS stage, CAST(ceil(length(content) / 4.0) AS BIGINT) AS input_tokens FROM distilled""")
