@@ -5,9 +5,12 @@ equal payloads the one with the largest page_id is a ``response`` record, the ot
 records that name it. A block longer than ``segment_bytes`` is split into a first record and
 continuations (``WARC-Segment-Number``, ``WARC-Segment-Origin-ID``; the last has
 ``WARC-Segment-Total-Length``). Files are written by Spark's text sink, a record per row with the
-record end as line end, gzip-compressed.
+record end as line end, gzip-compressed. No record is much longer than ``segment_bytes``, so a number
+of records bounds a file's bytes.
 
-Reading: files are parsed by content length. Continuation records are grouped by origin identifier,
+Reading: a file's members are inflated piece by piece and parsed by content length as they come; a task
+holds one file's compressed bytes (under 2 GB, as Spark reads a file into a row) and one record. A record
+that is cut off has no payload. Continuation records are grouped by origin identifier,
 ordered by segment number and joined; a group counts only if its numbers are gapless from 1 and its
 length is the total that the last segment states. Chunked framing is then decoded, and a revisit
 takes its payload's length from the response it names.
@@ -18,9 +21,11 @@ Null html is the empty payload. Rows that share a page_id, or have none, are rec
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -111,9 +116,11 @@ def _records(segment_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16384, file_records: int = 5000, least_revisit: int = 0) -> None:
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16384, file_bytes: int = 80 << 20, least_revisit: int = 0) -> None:
     """Write a record per row of ``pages``. Payloads are equal if their SHA-256 are; smaller ones than
-    ``least_revisit`` bytes are all responses. Payloads that surely occur once don't move."""
+    ``least_revisit`` bytes are all responses. Payloads that surely occur once don't move. A file takes ``file_bytes``
+    uncompressed, reckoned at 1,024 bytes of headers a record."""
+    file_records = max(1, file_bytes // (segment_bytes + 1024))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.withColumn("strong", F.sha2(F.coalesce("html", F.lit("")), 256))
     keys = rows.groupBy("page_id", "url", "strong").count()
@@ -133,28 +140,25 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 16384, file
     alone.unionByName(same.select(*cols)).mapInArrow(_records(segment_bytes), "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an uncompressed archive."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+def parse_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers (names in lower case) and block of each record of an uncompressed archive, read as it is
+    asked for. The block of a record that is cut off is None."""
+    while line := file.readline(1 << 16):
+        if not line.startswith(b"WARC/"):
+            continue
+        headers = {}
+        while (line := file.readline()).strip():
+            key, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[key.strip().lower()] = value.strip()
+        n = int(headers.get("content-length", 0))
+        block = file.read(n)
+        yield headers, block if len(block) == n else None
 
 
-def inflated(data: bytes) -> bytes:
-    """All members of a gzip file, or the data if it isn't one."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        unzip = zlib.decompressobj(31)
-        out.append(unzip.decompress(data) + unzip.flush())
-        data = unzip.unused_data
-    return b"".join(out)
+def opened(data: bytes) -> BinaryIO:
+    """The data of all members of a gzip file, or the data itself if it isn't one, inflated as it is read."""
+    raw = io.BytesIO(data)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if data[:2] == b"\x1f\x8b" else raw
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,29 +166,37 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["record_id", "kind", "refers_to", "page_id", "declared", "origin", "segment", "total", "block"]
     for batch in batches:
         for content in batch.column(0):
-            rows = []
-            for h, block in parse_records(inflated(content.as_py())):
+            rows, size = [], 0
+            for h, block in parse_records(opened(content.as_py())):
                 page, segment = h.get("x-page-id"), h.get("warc-segment-number")
                 rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-refers-to"), int(page) if page else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-segment-origin-id") or h.get("warc-record-id"), int(segment) if segment else None, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block))
-                if len(rows) >= 2000:
+                size += len(block or b"")
+                if size > 1 << 22 or len(rows) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def _payload(kind: str | None, parts: list[bytes | None] | None, total: int | None) -> bytes | None:
+    if kind != "response" or parts is None or None in parts:
+        return None
+    block = b"".join(parts)
+    if total is not None and len(block) != total:
+        return None
+    head, _, body = block.partition(b"\r\n\r\n")
+    try:
+        return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    except ValueError:
+        return None
+
+
 def _payloads(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, payloads = [], [], []
-            for kind, block in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                payload = None
-                if block is not None and kind == "response":
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    try:
-                        payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                    except ValueError:
-                        payload = None
+            for i in range(batch.num_rows):
+                payload = _payload(*(batch.column(c)[i].as_py() for c in (1, 5, 6)))
                 sizes.append(None if payload is None else len(payload))
                 digests.append(None if payload is None else base32_sha1(payload))
                 payloads.append(payload if keep else None)
@@ -198,17 +210,16 @@ def read_archives(spark, path: str, keep_payload: bool = True) -> DataFrame:
     record. Incomplete or wrongly framed ones have null n_bytes, digest and payload."""
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = files.mapInArrow(_parse, _READ)
-    whole = rows.filter("segment is null")
+    whole = rows.filter("segment is null").withColumn("parts", F.array("block"))
     parts = rows.filter("segment is not null").groupBy("origin").agg(
         F.max(F.when(F.col("segment") == 1, F.struct("record_id", "kind", "refers_to", "page_id", "declared"))).alias("head"),
-        F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("parts"),
+        F.array_sort(F.collect_set(F.when(F.col("block").isNotNull(), F.struct("segment", "block")))).alias("parts"),
         F.max("total").alias("total"),
     )
-    numbers = F.transform("parts", lambda p: p["segment"])
-    block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["block"]))
-    gapless = numbers == F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("parts")))
-    joined = parts.withColumn("block", block).select("head.*", F.when(gapless & (F.length("block") == F.col("total")), F.col("block")).alias("block")).filter("record_id is not null")
-    cols = ["record_id", "kind", "refers_to", "page_id", "declared", "block"]
+    # Without a last segment, which states the total, a group is incomplete.
+    gapless = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("parts")))
+    joined = parts.select("head.*", F.when(gapless & F.col("total").isNotNull(), F.transform("parts", lambda p: p["block"])).alias("parts"), "total").filter("record_id is not null")
+    cols = ["record_id", "kind", "refers_to", "page_id", "declared", "parts", "total"]
     schema = "record_id string, kind string, refers_to string, page_id long, declared string, n_bytes long, digest string, payload binary"
     return whole.select(*cols).unionByName(joined.select(*cols)).mapInArrow(_payloads(keep_payload), schema)
 

@@ -1,6 +1,7 @@
 """Operators against brute force and on awkward rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -146,6 +147,26 @@ def test_warc_incomplete(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(middle + b"\r\n\r\n")
     assert bytes(warc.read_archives(spark, str(tmp_path)).first().payload) == b"a" * 100
     assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\nT: v\r\n\r\n") == b"abc"
+    # A copy of a segment that is cut off doesn't spoil the whole one.
+    (tmp_path / "c.warc").write_bytes(middle[:-5])
+    assert bytes(warc.read_archives(spark, str(tmp_path)).first().payload) == b"a" * 100
+
+
+def test_warc_members_and_bytes(spark, tmp_path):
+    page = lambda n: warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{n}>"), ("X-Page-ID", n)], b"HTTP/1.1 200 OK\r\n\r\n" + b"WARC/1.1\r\n" * n) + b"\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    # A member for each record; the last record is cut off.
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(gzip.compress(page(n)) for n in range(5)) + gzip.compress(page(9)[:-20]))
+    got = {r.page_id: None if r.payload is None else bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "in")).collect()}
+    assert got == {n: b"WARC/1.1\r\n" * n for n in range(5)} | {9: None}
+    # One page of 3 MB among small ones: files stay within their bytes.
+    rows = [(n, f"http://x/{n}", f"{n}" * 10) for n in range(50)] + [(77, "http://x/77", "".join(map(str, range(500_000))))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "out"), segment_bytes=16384, file_bytes=1 << 19)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "out").glob("*.gz")]
+    assert sum(sizes) > 2_800_000 and max(sizes) <= 1 << 19
+    read = warc.resolved(warc.read_archives(spark, str(tmp_path / "out")))
+    assert {(r.page_id, r.payload_bytes) for r in read.collect()} == {(n, len(html)) for n, _, html in rows}
 
 
 def test_token_rollup(spark):
