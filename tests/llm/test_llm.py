@@ -196,6 +196,38 @@ def test_token_rollup_batches(spark, awkward):
     assert rollup.commit("2", rollup.removal(every)) and rollup.totals().count() == 0
 
 
+def test_token_rollup_writers(spark):
+    """Two writers that delete the same document, a batch that two writers give at once, and a compaction between."""
+    root = store.scratch_path(spark, "t")
+    rows = lambda *ids: spark.createDataFrame([(i, "a", "en", "t", 1, 10 * i, i) for i in ids], tokens.LEDGER)
+    one, two = tokens.Rollup(spark, root), tokens.Rollup(spark, root)
+    assert one.commit("1", rows(1, 2, 3, 4))
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "doc_id long")
+    tries = []
+
+    def late(state):
+        tries.append(state.version)
+        if len(tries) == 1:
+            assert two.commit("2", two.removal(ids(1, 2)))
+        return state.removal(ids(2, 3))
+
+    assert one.commit("3", late) and tries == [1, 2]
+    assert [tuple(r) for r in one.totals().collect()] == [("a", "en", "t", 1, 40, 4)]
+
+    def same(state):
+        assert two.commit("4", rows(5))
+        return rows(5)
+
+    assert not one.commit("4", same)
+    one.compact()
+    assert len(one.state().parts) == 1 and one.committed() == ["1", "2", "3", "4"]
+    assert not two.commit("3", rows(9)) and two.commit("5", two.removal(ids(4)))
+    assert [tuple(r) for r in two.current().collect()] == [(5, "a", "en", "t", 1, 50, 5)]
+    # An attempt without an entry doesn't count.
+    two._written(rows(6))
+    assert [tuple(r) for r in two.totals().collect()] == [("a", "en", "t", 1, 50, 5)]
+
+
 def brute_segments(scores):
     """Maximal segments by their definition: the best one, then left and right of it."""
     if not len(scores):
