@@ -232,9 +232,11 @@ def compose_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", replies.composed(reply).alias("r")).select("page_id", "r.title", "r.confidence", F.md5("r.content").alias("content"))
 
 
-@query(f"WITH {NOTES_SQL} SELECT doc_id, md5('text' || chr(10) || '## Related' || chr(10) || '- [[' || {_k('topic')} || ']]' || chr(10) || '- [[kept]]' || chr(10) || '## Next' || chr(10) || '- plain') AS linked, md5('text' || chr(10) || '## Next' || chr(10) || '- plain') AS stripped FROM notes WHERE trim(topic) <> '' AND topic NOT LIKE '%[%' AND topic NOT LIKE '%(%'")
+@query(f"""WITH {NOTES_SQL}, x AS (SELECT doc_id, topic, regexp_extract(trim(topic), '^\\[(.+?)\\]\\(.+\\)$', 1) AS label FROM notes),
+ y AS (SELECT doc_id, CASE WHEN trim(topic) = '' OR regexp_full_match(trim(topic), '\\[\\[.+\\]\\]') THEN topic ELSE '[[' || CASE WHEN label <> '' THEN {_k('label')} ELSE {_k('topic')} END || ']]' END AS item FROM x)
+ SELECT doc_id, md5('text' || chr(10) || '## Related' || chr(10) || '- ' || item || chr(10) || '- [[kept]]' || chr(10) || '## Next' || chr(10) || '- plain') AS linked, CASE WHEN item IS NOT NULL THEN md5('text' || chr(10) || '## Next' || chr(10) || '- plain') END AS stripped FROM y""")
 def related_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.notes(spark, sf_dir).filter("trim(topic) <> '' and topic not like '%[%' and topic not like '%(%'")
+    rows = views.notes(spark, sf_dir)
     text = F.concat(F.lit("text\n## Related\n- "), "topic", F.lit("\n- [[kept]]\n## Next\n- plain"))
     return rows.select("doc_id", F.md5(replies.link_related(text)).alias("linked"), F.md5(replies.strip_related(text)).alias("stripped"))
 
