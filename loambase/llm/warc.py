@@ -151,14 +151,26 @@ def parse_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes | None
             key, _, value = line.decode("utf-8", "replace").partition(":")
             headers[key.strip().lower()] = value.strip()
         n = int(headers.get("content-length", 0))
-        block = file.read(n)
+        try:
+            block = file.read(n)
+        except EOFError:  # The gzip stream itself is cut off.
+            yield headers, None
+            return
         yield headers, block if len(block) == n else None
 
 
 def opened(data: bytes) -> BinaryIO:
     """The data of all members of a gzip file, or the data itself if it isn't one, inflated as it is read."""
     raw = io.BytesIO(data)
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if data[:2] == b"\x1f\x8b" else raw
+    return gzip.GzipFile(fileobj=raw) if data[:2] == b"\x1f\x8b" else raw
+
+
+def _until_cut(records: Iterator[tuple[dict[str, str], bytes | None]]) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The records up to where a gzip stream is cut off between blocks or within headers."""
+    try:
+        yield from records
+    except EOFError:
+        return
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +179,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
-            for h, block in parse_records(opened(content.as_py())):
+            for h, block in _until_cut(parse_records(opened(content.as_py()))):
                 page, segment = h.get("x-page-id"), h.get("warc-segment-number")
                 rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-refers-to"), int(page) if page else None, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-segment-origin-id") or h.get("warc-record-id"), int(segment) if segment else None, int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block))
                 size += len(block or b"")

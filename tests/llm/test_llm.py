@@ -159,6 +159,13 @@ def test_warc_members_and_bytes(spark, tmp_path):
     (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(gzip.compress(page(n)) for n in range(5)) + gzip.compress(page(9)[:-20]))
     got = {r.page_id: None if r.payload is None else bytes(r.payload) for r in warc.read_archives(spark, str(tmp_path / "in")).collect()}
     assert got == {n: b"WARC/1.1\r\n" * n for n in range(5)} | {9: None}
+    # A gzip stream that is cut off: what comes before it counts.
+    (tmp_path / "cut").mkdir()
+    whole = gzip.compress(page(1)) + gzip.compress(page(2))
+    (tmp_path / "cut" / "a.warc.gz").write_bytes(whole[:-6])
+    (tmp_path / "cut" / "b.warc.gz").write_bytes(gzip.compress(page(3)) + gzip.compress(page(4))[:14])
+    got = {r.page_id: r.payload is not None for r in warc.read_archives(spark, str(tmp_path / "cut")).collect()}
+    assert got[1] and got[3] and not got.get(4)
     # One page of 3 MB among small ones: files stay within their bytes.
     rows = [(n, f"http://x/{n}", f"{n}" * 10) for n in range(50)] + [(77, "http://x/77", "".join(map(str, range(500_000))))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
