@@ -137,8 +137,24 @@ def render_tool_result(name: Column, content: Column, is_error: Column) -> Colum
     return F.concat(F.lit("[tool_result: "), name, F.when(is_error, F.lit(" ERROR")).otherwise(F.lit("")), F.lit("]\n"), safe, F.lit("\n[/tool_result]"))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number from 0 on with so many decimals, rounded by its exact binary value as C's printf does: 0.4735 is a little less
+    than its decimals tell and gives 0.473. (Java's formatter rounds the decimals.)"""
+    scale = float(10**digits)
+    below = F.floor(c * scale)
+    # In two halves of few bits each, products and differences are exact, and the sum has the right sign.
+    shifted = c * 134217729.0
+    high = shifted - (shifted - c)
+    over = (high * scale - below.cast("double") - 0.5) + (c - high) * scale
+    units = below + F.when((over > 0) | ((over == 0) & (below % 2 == 1)), 1).otherwise(0)
+    whole = F.floor(units / int(scale))
+    exact = F.concat(whole.cast("string"), F.lit("."), F.lpad((units - whole * int(scale)).cast("string"), digits, "0"))
+    return F.when(c >= 1e9, F.format_string(f"%.{digits}f", c)).otherwise(exact)
+
+
 def usd(c: Column) -> Column:
-    return F.when(c <= 0, "$0").when(c < 0.01, F.format_string("$%.4f", c)).when(c < 1, F.format_string("$%.3f", c)).otherwise(F.format_string("$%.2f", c))
+    shown = lambda digits: F.concat(F.lit("$"), fixed(c, digits))
+    return F.when(c <= 0, "$0").when(c < 0.01, shown(4)).when(c < 1, shown(3)).otherwise(shown(2))
 
 
 def round4(c: Column) -> Column:
