@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import frontmatter, is_verified, kebab, preview, round4
-from .search import best_candidates, mmr, mmr_slack
+from .search import best_candidates, diversified
 
 #: Folders and the category of their notes; categories of clients; types with a category of their own.
 FOLDERS = {"patterns": "pattern", "gotchas": "gotcha", "decisions": "decision", "tools": "tool", "articles": "article", "topics": "topic", "pdfs": "pdf"}
@@ -77,20 +77,24 @@ def results(hits: DataFrame, topics: str = "topics") -> DataFrame:
     )
 
 
-def layered(layers: dict[str, DataFrame], queries: DataFrame, k: int = 8, floor: float = 0.3, boost: float = 0.2, slack: float = 0.0) -> DataFrame:
-    """(query, layer, doc, score, vector) of all layers (doc, vector, content, verified) at cosine ``floor`` or more that may be
-    among a query's k best, or within ``slack`` of them. Rows without content are no candidates; verified ones get
-    ``boost`` on top, before anything is ranked."""
+def _pool(layers: dict[str, DataFrame], boost: float) -> DataFrame:
+    """(layer, doc, vector, bonus) of all layers (doc, vector, content, verified). Rows without content are no candidates; verified
+    ones get ``boost`` on top, before anything is ranked."""
     parts = []
     for layer, rows in layers.items():
-        rows = rows.filter(F.coalesce(F.trim("content"), F.lit("")) != "").select("doc", "vector", F.when(F.coalesce("verified", F.lit(False)), boost).otherwise(0.0).alias("bonus"))
-        parts.append(best_candidates(rows, queries, k, floor, slack).select("query", F.lit(layer).alias("layer"), "doc", "score", "vector"))
+        rows = rows.filter(F.coalesce(F.trim("content"), F.lit("")) != "")
+        parts.append(rows.select(F.lit(layer).alias("layer"), "doc", "vector", F.when(F.coalesce("verified", F.lit(False)), boost).otherwise(0.0).alias("bonus")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def layered(layers: dict[str, DataFrame], queries: DataFrame, k: int = 8, floor: float = 0.3, boost: float = 0.2) -> DataFrame:
+    """(query, layer, doc, score) of all layers at cosine ``floor`` or more that may be among a query's k best."""
+    return best_candidates(_pool(layers, boost), queries, k, floor)
+
+
 def diverse(layers: dict[str, DataFrame], queries: DataFrame, k: int = 8, floor: float = 0.3, boost: float = 0.2, relevance: float = 0.7) -> DataFrame:
     """(query, layer, doc, score, rank): the search over all layers, re-ranked for diversity."""
-    return mmr(layered(layers, queries, k, floor, boost, mmr_slack(relevance)), k, relevance, ("layer", "doc"))
+    return diversified(_pool(layers, boost), queries, k, floor, relevance)
 
 
 def best(candidates: DataFrame, k: int = 8) -> DataFrame:

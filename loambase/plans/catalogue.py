@@ -494,8 +494,8 @@ _POOL_SQL = mmr_sql("SELECT q.vec_id AS query, '' AS layer, c.vec_id AS doc, lea
 
 @query(f"WITH RECURSIVE {_POOL_SQL} SELECT query, doc, score, rank FROM mmr")
 def mmr_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _vectors(spark, sf_dir).withColumn("bonus", F.lit(0.0))
-    return search.mmr(search.best_candidates(corpus, _vector_queries(spark, sf_dir), slack=search.mmr_slack(0.7)))
+    corpus = _vectors(spark, sf_dir).select(F.lit("").alias("layer"), "doc", "vector", F.lit(0.0).alias("bonus"))
+    return search.diversified(corpus, _vector_queries(spark, sf_dir)).drop("layer")
 
 
 @query(f"WITH RECURSIVE {_POOL_SQL}, {_TFIDF.removeprefix('WITH ')} SELECT query, doc, score, rank, 'embedding' AS method FROM mmr UNION ALL SELECT query, doc, score, rank, 'tfidf' FROM hits WHERE query NOT IN (SELECT query FROM mmr)")
