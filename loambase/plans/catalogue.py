@@ -381,8 +381,7 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NOTES_SQL}, {_DISTILLED}, {_LINKS} SELECT doc_id::VARCHAR AS id FROM distilled WHERE doc_id::VARCHAR NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _linked(spark, sf_dir)
-    return hygiene.orphans(n, hygiene.links(n))
+    return hygiene.orphans(_linked(spark, sf_dir))
 
 
 @query(f"""WITH {NOTES_SQL}, {_DISTILLED}, a AS (SELECT doc_id AS id, {_k('project')} AS project, category, epoch(TIMESTAMP '{NOTES_NOW}') - epoch(started_at) AS age FROM distilled)
