@@ -71,25 +71,32 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("query_id", F.size("results").cast("long").alias("n"), F.array_join(each, ",").alias("results"))
 
 
-def _replayed(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    """A stream that gives each of these tables as a batch, in order."""
-    root = scratch_path(spark, "stream")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(root)
-
-
 def _ended(started) -> None:
     started.awaitTermination()
     if started.exception():
         raise started.exception()
 
 
-def _written(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """What a stream appends, as a table."""
-    path = scratch_path(spark, "appended")
-    _ended(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start())
-    return spark.read.schema(stream.schema).parquet(path)
+def _replayed(spark: SparkSession, parts: list[DataFrame], start) -> None:
+    """A stream that gives each of these tables as a batch, in order. ``start`` begins the query over it, with one checkpoint; it
+    goes on with each table once that is there, and reads its files, as many as the table has partitions, at once."""
+    root = scratch_path(spark, "stream")
+    for part in parts:
+        part.write.mode("append").parquet(root)
+        _ended(start(spark.readStream.schema(parts[0].schema).parquet(root)))
+
+
+def _written(spark: SparkSession, parts: list[DataFrame], job) -> DataFrame:
+    """What the ``job`` over a stream of these tables appends, as a table."""
+    path, checkpoint, schema = scratch_path(spark, "appended"), scratch_path(spark, "checkpoint"), []
+
+    def start(stream: DataFrame):
+        out = job(stream)
+        schema[:] = [out.schema]
+        return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    _replayed(spark, parts, start)
+    return spark.read.schema(schema[0]).parquet(path)
 
 
 @query("""SELECT 'p/' || doc_id AS path, sha256(t) AS hash, length(t) AS chars, n AS distilled_in FROM (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN text || '!!' WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END AS t, CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM documents)""")
@@ -98,10 +105,11 @@ def session_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, ident = table(spark, sf_dir, "documents"), F.col("doc_id")
     made = lambda rows, mark, n: rows.select(F.concat(F.lit("p/"), ident.cast("string")).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit(mark)).alias("content"), F.lit(n).alias("n")).withColumn("hash", F.sha2("content", 256)).select("path", "hash", "content", "n")
     last = made(d.filter(ident % 6 == 0), "!!", 2)
-    stream = _replayed(spark, [made(d, "", 0), made(d.filter(ident % 3 == 0), "!", 1).unionByName(made(d.filter(ident % 3 == 1), "", 1)), last.unionByName(last)])
+    parts = [made(d, "", 0), made(d.filter(ident % 3 == 0), "!", 1).unionByName(made(d.filter(ident % 3 == 1), "", 1)), last.unionByName(last)]
     root, schema = scratch_path(spark, "sessions"), "path string, hash string, chars long, distilled_in int"
     distil = lambda rows: rows.select("path", "hash", F.length("content").cast("long").alias("chars"), F.col("n").alias("distilled_in"))
-    _ended(jobs.keep_sessions(stream, distil, schema, root, scratch_path(spark, "checkpoint"), buckets=16))
+    checkpoint = scratch_path(spark, "checkpoint")
+    _replayed(spark, parts, lambda stream: jobs.keep_sessions(stream, distil, schema, root, checkpoint, buckets=16))
     return Buckets(root, schema, count=16).current(spark)
 
 
@@ -116,8 +124,7 @@ def streamed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = rows.agg(F.min(at), F.max(at)).first()
     days = 24 * 3600
     late = rows.filter((at < lo + days) & F.lit(hi - lo > 12 * days))
-    stream = _replayed(spark, [rows.filter(at < (lo + hi) // 2), rows.filter(at >= (lo + hi) // 2), late])
-    out = _written(spark, jobs.weekly_cost(stream))
+    out = _written(spark, [rows.filter(at < (lo + hi) // 2), rows.filter(at >= (lo + hi) // 2), late], jobs.weekly_cost)
     return out.select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "stage", "provider", "calls", "input_tokens")
 
 
@@ -127,8 +134,8 @@ def delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = views.notes(spark, sf_dir).select("doc_id", "path", "content", F.lit("2024-01-05 00:00:00").cast("timestamp").alias("ts"))
     told = lambda rows, mark: rows.select("path", F.sha2(F.concat("content", F.lit(mark)), 256).alias("hash"), "ts")
     again, other = n.filter("doc_id % 3 = 0"), n.filter("doc_id % 4 = 0")
-    stream = _replayed(spark, [told(n, "").unionByName(told(again, "")), told(again, "").unionByName(told(other, "+"))])
-    return _written(spark, jobs.once_each(stream, "30 days")).select("path", "hash")
+    parts = [told(n, "").unionByName(told(again, "")), told(again, "").unionByName(told(other, "+"))]
+    return _written(spark, parts, lambda stream: jobs.once_each(stream, "30 days")).select("path", "hash")
 
 
 def _length_vector(texts) -> list:
@@ -153,8 +160,8 @@ def backlog_heal(spark: SparkSession, sf_dir: str) -> DataFrame:
     its place."""
     d = table(spark, sf_dir, "documents").filter("trim(text) <> ''")
     rows = lambda part, mark: part.select(F.col("doc_id").cast("string").alias("path"), F.concat("text", F.lit(mark)).alias("content"), F.lit(None).cast("array<double>").alias("embedding"))
-    root = scratch_path(spark, "backlog")
-    _ended(jobs.heal_backlog(_replayed(spark, [rows(d.filter("doc_id % 2 = 0"), ""), rows(d.filter("doc_id % 10 = 0"), "x")]), _length_vector, root, scratch_path(spark, "checkpoint")))
+    root, checkpoint = scratch_path(spark, "backlog"), scratch_path(spark, "checkpoint")
+    _replayed(spark, [rows(d.filter("doc_id % 2 = 0"), ""), rows(d.filter("doc_id % 10 = 0"), "x")], lambda stream: jobs.heal_backlog(stream, _length_vector, root, checkpoint))
     tried = reduce(DataFrame.unionByName, (spark.read.schema("path string, error string").parquet(f"{root}/batch={n}").withColumn("batch", F.lit(n)) for n in (0, 1)))
     last = tried.groupBy("path").agg(F.max_by(F.struct("error", "batch"), "batch").alias("r"))
     return last.select(F.col("path").cast("long").alias("doc_id"), F.col("r.error").isNull().alias("healed"), F.col("r.batch").alias("batch"))
