@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,24 +90,33 @@ def bounded_skills(blocks: DataFrame) -> DataFrame:
 
 
 #: A skill's call with the result that directly follows it, in a rendered transcript; errors have another header.
-SKILL_PAIR = r"\[tool_use: Skill\] (.+)\n\n\[tool_result: Skill\]\n([\s\S]*?)\n\[/tool_result\]"
+SKILL_CALL, SKILL_HEAD, SKILL_END = "[tool_use: Skill] ", "\n\n[tool_result: Skill]\n", "\n[/tool_result]"
+SKILL_PAIR = r"\[tool_use: Skill\] .+\n\n\[tool_result: Skill\]\n(?s:.*?)\n\[/tool_result\]"
+
+
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def stripped_skills(text: Column) -> Column:
     """Struct of text and stripped: a rendered transcript whose skill results of over ``SKILL_LIMIT`` characters are replaced by
-    the skill's name, and how many are. The text is taken apart at the pairs and put together again."""
-    found, between = F.regexp_extract_all(text, F.lit(SKILL_PAIR), F.lit(0)), F.split(text, SKILL_PAIR, -1)
-    call = lambda m: F.regexp_extract(m, SKILL_PAIR, 1)
-    long = lambda m: F.length(F.regexp_extract(m, SKILL_PAIR, 2)) > SKILL_LIMIT
+    the skill's name, and how many are. The text is taken apart at the pairs and put together again; it is searched twice, and
+    a pair not at all: a call has no line ends, so the pair's first header ends it."""
+    at = lambda m: F.instr(m, SKILL_HEAD)
+    long = lambda m: F.length(m) - at(m) - (len(SKILL_HEAD + SKILL_END) - 1) > SKILL_LIMIT
 
     def named(m: Column) -> Column:
-        value = F.try_parse_json(call(m))
-        fields = (F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant")) == "STRING", F.try_variant_get(value, f"$.{k}", "string")) for k in ("skill", "command", "name"))
-        return F.concat(F.lit("[tool_use: Skill] "), call(m), F.lit("\n\n[tool_result: Skill] [Skill "), F.coalesce(*fields, F.lit("skill")), F.lit(" loaded]"))
+        call = F.substring(m, F.lit(len(SKILL_CALL) + 1), at(m) - len(SKILL_CALL) - 1)
+        field = lambda v, k: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.try_variant_get(v, f"$.{k}", "string"))
+        name = _held(F.try_parse_json(call), lambda v: F.coalesce(*(field(v, k) for k in ("skill", "command", "name")), F.lit("skill")))
+        return F.concat(F.lit(SKILL_CALL), call, F.lit("\n\n[tool_result: Skill] [Skill "), name, F.lit(" loaded]"))
+
+    def joined(found: Column) -> Column:
+        whole = F.array_join(F.zip_with(F.split(text, SKILL_PAIR, -1), found, lambda a, m: F.concat(a, F.coalesce(F.when(long(m), named(m)).otherwise(m), F.lit("")))), "")
+        return F.struct(whole.alias("text"), F.size(F.filter(found, long)).cast("long").alias("stripped"))
 
-    put = F.transform(found, lambda m: F.when(long(m), named(m)).otherwise(m))
-    whole = F.array_join(F.zip_with(between, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.struct(whole.alias("text"), F.size(F.filter(found, long)).cast("long").alias("stripped"))
+    return _held(F.regexp_extract_all(text, F.lit(SKILL_PAIR), F.lit(0)), joined)
 
 
 def savings(before: Column, after: Column) -> Column:
