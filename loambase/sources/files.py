@@ -1,12 +1,21 @@
-"""Collections of files as tables, and tables as files. All paths go through Spark's readers and writers."""
+"""Collections of files as tables, and tables as files. Folders of many small files are read by pyarrow within tasks, all other paths go
+through Spark's readers and writers."""
 
 from __future__ import annotations
 
+import fnmatch
+import functools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import FRONTMATTER, body, frontmatter
 from ..operators.state import publish, upsert
+from .scratch import bounded_batches
 
 COST_SCHEMA = "ts string, session string, project string, stage string, model string, provider string, input_tokens long, output_tokens long, token_source string, estimated_cost_usd double"
 #: Files of a note folder that are no notes.
@@ -20,9 +29,82 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"))
 
 
+#: Files are read in so many tasks a core.
+READS = 4
+#: What may not stand in a URI's path.
+QUOTED = re.compile(r"[\x00-\x20\"#%<>?\[\\\]^`{|}\x7f]")
+
+
+def _shown(name: str) -> bool:
+    """Whether Spark's own readers would look at a file or folder of this name."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], pattern: str, deep: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (uri, path, folder) as what is in the folders: matching files that aren't empty, and, unless ``deep``, folders."""
+    for batch in batches:
+        for uri, path, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            store, todo = _store(uri), [path] if folder else []
+            if not folder:
+                yield pa.RecordBatch.from_pylist([{"uri": uri, "path": path, "folder": False}], batch.schema)
+            while todo:
+                held = [x for x in store.get_file_info(fs.FileSelector(todo.pop())) if _shown(x.base_name)]
+                below = [x.path for x in held if x.type == fs.FileType.Directory]
+                found = [x.path for x in held if x.type == fs.FileType.File and x.size and fnmatch.fnmatchcase(x.base_name, pattern)]
+                todo += below if deep else []
+                rows = [*found, *([] if deep else below)]
+                yield pa.RecordBatch.from_pydict({"uri": [uri] * len(rows), "path": rows, "folder": [False] * len(found) + [True] * (len(rows) - len(found))}, batch.schema)
+                if not deep:
+                    break
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (uri, path) as (path, content), some 4 MB of files at once; paths quoted as Spark gives them."""
+    held, size = [], 0
+    for batch in batches:
+        for uri, path in zip(batch.column("uri").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            store = _store(uri)
+            with store.open_input_stream(path, compression=None) as file:
+                held.append((QUOTED.sub(lambda m: f"%{ord(m[0]):02X}", path), file.read()))
+            size += len(held[-1][1])
+            if size > 4 << 20:
+                yield _contents(held)
+                held, size = [], 0
+    if held:
+        yield _contents(held)
+
+
+@functools.lru_cache(4)
+def _store(uri: str) -> fs.FileSystem:
+    return fs.FileSystem.from_uri(uri)[0]
+
+
+def _contents(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"path": [p for p, _ in rows], "content": pa.array([c for _, c in rows], pa.binary())})
+
+
+def _openable(root: str) -> str | None:
+    """The folder's path in a file system that pyarrow opens; None where only Spark's readers can, or where they are to complain."""
+    try:
+        store, path = fs.FileSystem.from_uri(root)
+        return path if store.get_file_info(path).type == fs.FileType.Directory else None
+    except (OSError, ValueError):
+        return None
+
+
 def _texts(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """path, content of all matching files below ``root`` that aren't empty. Small files are many: they are listed by tasks, a folder
+    each, and opened without Spark's work for each file; where pyarrow can't open the root, or the pattern has alternatives, Spark reads them."""
+    folder = None if re.search(r"[{\\^]", pattern) else _openable(root)
+    if folder is None:
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+        return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    bounded_batches(spark)
+    schema, tasks = "uri string, path string, folder boolean", READS * spark.sparkContext.defaultParallelism
+    top = spark.createDataFrame([(root, folder, True)], schema).repartition(1).mapInArrow(lambda b: _listed(b, pattern, False), schema)
+    every = top.repartition(tasks).mapInArrow(lambda b: _listed(b, pattern, True), schema).repartition(tasks)
+    scheme = (re.match(r"[a-z0-9]+://[^/]+" if folder.startswith("/") else r"[a-z0-9]+://", root) or ["file:"])[0]
+    return every.select("uri", "path").mapInArrow(_read, "path string, content binary").select(F.concat(F.lit(scheme), "path").alias("path"), F.col("content").cast("string").alias("content"))
 
 
 def transcript_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
