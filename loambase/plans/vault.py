@@ -11,6 +11,7 @@ from ..functions import replies
 from ..functions import text as T
 from ..operators import cost, hits, notes, pages, requests, search, sessions, state
 from ..sources import files, views
+from ..sources.notes_sink import write_line_files
 from ..sources.scratch import scratch_path
 from ..sources.views import ARTICLES_SQL, NOTES_SQL, PAGES_SQL, TRANSCRIPTS_SQL, table
 from ..streaming import jobs
@@ -311,14 +312,13 @@ def inference_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT '/proj/c' || conv_id % 5 || '/' || conv_id || '.jsonl' AS path, count(*) AS lines, md5(string_agg(text, chr(10) ORDER BY turn)) AS texts FROM conversations GROUP BY conv_id")
 def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as files of JSON lines, one folder each, and read back."""
+    """Conversations written as files of JSON lines, a folder for each project, and read back."""
     root = scratch_path(spark, "transcripts")
-    rows = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), (F.col("conv_id") % 5).cast("string")).alias("folder"), F.col("conv_id").alias("name"), F.to_json(F.struct(F.col("turn").alias("n"), F.struct("role", F.col("text").alias("content")).alias("message"))).alias("value"))
-    rows.repartition("folder", "name").write.partitionBy("folder", "name").text(root)
-    lines = files.transcript_lines(spark, root, "*.txt")
-    part = lambda k: F.regexp_extract("path", f"/{k}=([^/]*)/", 1)
+    path = F.concat(F.lit("c"), (F.col("conv_id") % 5).cast("string"), F.lit("/"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    write_line_files(table(spark, sf_dir, "conversations").select(path.alias("rel_path"), F.col("turn").alias("line"), F.to_json(F.struct(F.col("turn").alias("n"), F.struct("role", F.col("text").alias("content")).alias("message"))).alias("value")), root)
+    lines = files.transcript_lines(spark, root)
     texts = F.array_sort(F.collect_list(F.struct(F.try_variant_get("event", "$.n", "long").alias("n"), F.try_variant_get("event", "$.message.content", "string").alias("t"))))
-    named = lines.select(F.concat(F.lit("/proj/"), part("folder"), F.lit("/"), part("name"), F.lit(".jsonl")).alias("path"), "event")
+    named = lines.select(F.concat(F.lit("/proj/"), F.element_at(F.split("path", "/"), -2), F.lit("/"), F.element_at(F.split("path", "/"), -1)).alias("path"), "event")
     return named.groupBy("path").agg(F.count("*").alias("lines"), F.md5(F.array_join(F.transform(texts, lambda x: x["t"]), "\n")).alias("texts"))
 
 
