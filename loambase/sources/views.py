@@ -18,7 +18,9 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("embedded"))
-    words = F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda w: w != "")
+    # Only the first six words are taken apart, not the whole text.
+    first = F.regexp_extract("text", "^[ \\t\\n\\r]*((?:[^ \\t\\n\\r]+[ \\t\\n\\r]*){0,6})", 1)
+    words = F.filter(F.split(first, "[ \\t\\n\\r]+"), lambda w: w != "")
     return (
         docs.join(labels, "doc_id", "left").join(vectors, "doc_id", "left").select(
             "doc_id",
