@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import key_filter, passing
-from .rounds import LIMIT, Likeness, linked
+from .rounds import LIMIT, Likeness, linked, shared
 from .store import materialize, small_batches
-from .text import U, mix, prefix_hash_of, span_hash
+from .text import U, mix, prefix_hash_of, run_hashes, span_hash
 
 SHINGLE, BANDS, ROWS = 8, 8, 3
+#: Random values of the characters of the basic plane.
+_POINT = mix(np.arange(1 << 16, dtype=U))
 
 
 def _orders(n: int, seed: int = 0) -> list[tuple[np.uint32, np.uint32]]:
@@ -37,6 +39,8 @@ def _orders(n: int, seed: int = 0) -> list[tuple[np.uint32, np.uint32]]:
 
 
 _ORDERS = _orders(BANDS * ROWS)
+#: Columns of a line's band keys, and of its minima in eight bits.
+_BANDS, _SKETCH = [f"band{i}" for i in range(BANDS)], [f"sketch{i}" for i in range(BANDS * ROWS // 8)]
 
 
 def digest(line: str) -> bytes:
@@ -50,23 +54,50 @@ def lines_of(text: str | None) -> list[str]:
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each of these non-empty lines, one line after the other, and where each begins."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    values = _POINT[points] if points.max(initial=0) < len(_POINT) else mix(points)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     ends = np.cumsum(sizes)
+    runs = np.append(run_hashes(values, SHINGLE), np.zeros(min(SHINGLE - 1, len(values)), U))
+    # No run begins at a line's last places, but for the one of a shorter line.
+    begins = np.ones(len(values), bool)
+    for i in range(1, SHINGLE):
+        begins[np.maximum(ends - i, 0)] = False
+    short = sizes < SHINGLE
+    if short.any():
+        to = np.cumsum(sizes[short])
+        at = (ends - sizes)[short]
+        runs[at] = span_hash(prefix_hash_of(values[np.repeat(short, sizes)]), to - sizes[short], to)
+        begins[at] = True
     counts = np.maximum(sizes - SHINGLE + 1, 1)
-    first = np.cumsum(counts) - counts
-    starts = np.arange(int(counts.sum())) - np.repeat(first - (ends - sizes), counts)
-    return span_hash(prefix_hash_of(mix(points)), starts, np.minimum(starts + SHINGLE, np.repeat(ends, counts))), first
+    return runs[begins], np.cumsum(counts) - counts
 
 
 def signatures(lines: list[str], orders: list[tuple[np.uint32, np.uint32]] = _ORDERS, n: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """A row of band keys (of ``n`` minima each) and one of minima for each of these non-empty lines."""
-    hashes, first = shingle_hashes(lines)
-    hashes = (hashes >> U(32)).astype(np.uint32)
-    minima = np.stack([np.minimum.reduceat((hashes ^ s) * m, first) for m, s in orders], axis=1)
-    keys = np.zeros((len(lines), len(orders) // n), U)
-    for i in range(len(orders)):
-        keys[:, i // n] = mix(keys[:, i // n] ^ minima[:, i])
-    return mix(keys ^ mix(np.arange(keys.shape[1], dtype=U))).view(np.int64), minima
+    minima = np.empty((len(orders), len(lines)), np.uint32)
+    for lo, hi in _blocks(lines):
+        hashes, first = shingle_hashes(lines[lo:hi])
+        hashes = (hashes >> U(32)).astype(np.uint32)
+        at = np.empty_like(hashes)
+        for (m, s), least in zip(orders, minima, strict=True):
+            np.multiply(np.bitwise_xor(hashes, s, out=at), m, out=at)
+            np.minimum.reduceat(at, first, out=least[lo:hi])
+    keys = np.zeros((len(orders) // n, len(lines)), U)
+    for i, least in enumerate(minima):
+        keys[i // n] = mix(keys[i // n] ^ least)
+    return np.ascontiguousarray(mix(keys ^ mix(np.arange(len(keys), dtype=U))[:, None]).T).view(np.int64), np.ascontiguousarray(minima.T)
+
+
+def _blocks(lines: list[str], most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of lines of about ``most`` characters, whose hashes stay in a core's cache."""
+    lo, size = 0, 0
+    for i, line in enumerate(lines):
+        size += len(line)
+        if size > most:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(lines):
+        yield lo, len(lines)
 
 
 def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -76,10 +107,9 @@ def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
-        listed = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
         bands, minima = signatures([x[2] for x in rows])
         sketch = np.ascontiguousarray(minima >> np.uint32(16)).astype(np.uint8).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([digest(x[2]) for x in rows], pa.binary()), pa.array([max(1, len(x[2]) - SHINGLE + 1) for x in rows], pa.int64()), listed(bands), listed(sketch)], ["doc_id", "line_no", "key", "size", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([digest(x[2]) for x in rows], pa.binary()), pa.array([max(1, len(x[2]) - SHINGLE + 1) for x in rows], pa.int64()), *map(pa.array, (*bands.T, *sketch.T))], ["doc_id", "line_no", "key", "size", *_BANDS, *_SKETCH])
 
     for batch in batches:
         rows, size = [], 0
@@ -174,25 +204,32 @@ def fuzzy_lines(docs: DataFrame, percent: int = 80, limit: int = LIMIT) -> DataF
     small_batches(docs.sparkSession)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # Equal lines of one task meet before the shuffle; size and bands follow from the line, so any will do.
-    at = F.struct("doc_id", "line_no")
-    signed = texts.mapInArrow(_signed, "doc_id long, line_no long, key binary, size long, bands array<long>, sketch array<long>")
-    nodes = materialize(signed.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in ("size", "bands", "sketch"))).withColumn("node", F.monotonically_increasing_id()), "lines")
-    rows = nodes.select(F.posexplode("bands").alias("at", "key"), "node", "size")
+    # Places are one number each while they are compared, so that rows are grouped by hash, not by a sort.
+    at, place = F.struct("doc_id", "line_no"), F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32) + F.col("line_no")
+    first = F.struct(F.expr("(place - pmod(place, 4294967296)) div 4294967296").alias("doc_id"), F.expr("cast(pmod(place, 4294967296) as long)").alias("line_no"))
+    told = ["size", *_BANDS, *_SKETCH]
+    signed = texts.mapInArrow(_signed, "doc_id long, line_no long, key binary, " + ", ".join(f"{c} long" for c in told))
+    grouped = signed.withColumn("place", place.cast("decimal(38,0)")).groupBy("key").agg(F.min("place").alias("place"), F.count("*").alias("n"), *(F.any_value(c).alias(c) for c in told))
+    nodes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "lines")
+    rows = shared(nodes.select(F.posexplode(F.array(*_BANDS)).alias("at", "key"), "node", "size"))
+    # Most lines share no bucket: the rounds never look at them again. The others' texts are fetched once.
+    held = materialize(nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "key", first.alias("first"), "size", F.array(*_SKETCH).alias("sketch")), "held_lines")
+    there = passing(texts.mapInArrow(_asked, "key binary, line string"), "key", key_filter(held, "key"))
+    found = materialize(held.select("node", "key").join(there, "key").groupBy("node").agg(F.any_value("line").alias("item")), "line_texts")
 
     def items(asked: DataFrame) -> DataFrame:
-        keys = materialize(nodes.select("node", "key").join(asked.select("node").distinct(), "node", "left_semi"), "asked_lines")
-        there = passing(texts.mapInArrow(_asked, "key binary, line string"), "key", key_filter(keys, "key"))
-        return materialize(keys.join(there, "key").groupBy("node").agg(F.any_value("line").alias("item")), "line_texts")
+        """The items of these nodes, and of some others."""
+        return passing(found, "node", key_filter(asked, "node"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        found = items(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        return pairs.join(found.toDF("a", "la"), "a").join(found.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(_confirm(percent), "a long, b long")
+        sides = items(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        return pairs.join(sides.toDF("a", "la"), "a").join(sides.toDF("b", "lb"), "b").select("a", "b", "la", "lb").mapInArrow(_confirm(percent), "a long, b long")
 
-    joined = linked(nodes, rows, Likeness(_agreeing, BANDS * ROWS, percent, sizes=False), confirm, items, _elements, limit)
-    placed = materialize(joined.join(nodes.select("node", "key", "first"), "node").select("component", "key", "first"), "linked_lines")
+    joined = linked(held, rows, Likeness(_agreeing, BANDS * ROWS, percent, sizes=False), confirm, items, _elements, limit)
+    placed = materialize(joined.join(held.select("node", "key", "first"), "node").select("component", "key", "first"), "linked_lines")
     best = materialize(placed.groupBy("component").agg(F.min("first").alias("best")), "best_lines")
     # A line that occurs once and has no link keeps itself: only the others are looked up.
-    several = nodes.filter("n > 1").select("key", F.col("first").alias("best")).join(placed.select("key"), "key", "left_anti")
+    several = nodes.filter("n > 1").select("key", first.alias("best")).join(placed.select("key"), "key", "left_anti")
     decided = materialize(placed.join(best, "component").select("key", "best").unionByName(several), "decided_lines")
     rows = texts.mapInArrow(_keys, "doc_id long, line_no long, key binary")
     joined = rows.join(decided, "key", "left").withColumn("best", F.coalesce("best", at))

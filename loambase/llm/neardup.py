@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import flagged, key_filter, passing
-from .rounds import LIMIT, Likeness, linked
+from .rounds import LIMIT, Likeness, linked, shared
 from .store import materialize, small_batches
 from .text import U, chunks, combine, mix, shingle_sets
 
@@ -177,6 +177,6 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, limit: i
     reps = materialize(first.filter("not maybe").unionByName(first.filter("maybe").dropDuplicates(["node", "set_id"])).drop("maybe", "set_id"), "representatives")
     rows = reps.select(F.posexplode("bands").alias("at", "key"), "node", "size")
     items = lambda nodes: passing(texts_of(docs, "node"), "node", key_filter(nodes, "node")).mapInArrow(_sets(words), "node long, item binary")
-    found = linked(reps, rows, Likeness(_agreeing, BINS, percent), lambda edges: confirmed(docs, edges, words, percent), items, _elements, limit)
+    found = linked(reps, shared(rows), Likeness(_agreeing, BINS, percent), lambda edges: confirmed(docs, edges, words, percent), items, _elements, limit)
     out = placed.select("doc_id", "n_shingles", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -176,10 +176,9 @@ def linked(
     sets_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
     limit: int = LIMIT,
 ) -> DataFrame:
-    """(node, component) of the nodes with a link, after rounds on the buckets ``rows`` (key, at, node, size).
-    ``reps`` (node, size, sketch) has the nodes; ``confirm`` checks pairs (a, b) on full sets; ``items`` gives
+    """(node, component) of the nodes with a link, after rounds on the buckets of ``rows`` (see ``shared``).
+    ``reps`` (node, size, sketch) has their nodes; ``confirm`` checks pairs (a, b) on full sets; ``items`` gives
     (node, item) of nodes, from which ``sets_of`` (see ``verified``) takes the sets."""
-    rows = shared(rows)
     stars = rows.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialize(likely(stars, reps, like), "candidates")
     found = materialize(components(materialize(confirm(tried), "links")), "components")

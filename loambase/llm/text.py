@@ -22,6 +22,7 @@ LOWER[65:91] += 32
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
+_LENGTH = 0xD6E8FEB86659FD93
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -64,7 +65,16 @@ def prefix_hash_of(values: np.ndarray) -> np.ndarray:
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Equal for equal spans, wherever they stand."""
     h = (prefix[ends] - prefix[starts]) * _power("up", _BASE, len(prefix))[starts]
-    return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    return mix(h + (ends - starts).astype(U) * U(_LENGTH))
+
+
+def run_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """``span_hash`` of every run of ``k`` values (a power of two), from runs of half the length."""
+    out, step = values, 1
+    while step < k:
+        out = out[: max(len(out) - step, 0)] + out[step:] * U(pow(_BASE, -step, 1 << 64))
+        step *= 2
+    return mix(out + U(k * _LENGTH & _MASK))
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 21, rows: int = 512) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
